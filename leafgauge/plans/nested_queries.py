@@ -38,7 +38,7 @@ _NODES = """
         from scene_snapshots where scene is not null and try_cast(scene as json) is not null
     ), readable as (select snapshot_id, case when json_exists(j, '$.scene') then j -> '$.scene' else j end as j from raw where j is not null and json_type(j) = 'OBJECT'),
     page_entries as (
-        select snapshot_id, null as k, unnest(cast(j -> '$.pages' as json[])) as p from readable where json_type(j, '$.pages') = 'ARRAY'
+        select snapshot_id, cast(null as varchar) as k, unnest(cast(j -> '$.pages' as json[])) as p from readable where json_type(j, '$.pages') = 'ARRAY'
         union all
         select snapshot_id, k, json_extract(j, '$.pages."' || k || '"') from (select snapshot_id, j, unnest(json_keys(j, '$.pages')) as k from readable where json_type(j, '$.pages') = 'OBJECT')
     ), pages as (select distinct snapshot_id, coalesce(p ->> '$.id', p ->> '$.pageId', k) as page_id, p from page_entries),
