@@ -81,15 +81,16 @@ def stratified_top(pool: DataFrame, per_stratum: int, seed: str, bucket: str) ->
 def fill_balanced(pool: DataFrame, chosen: DataFrame, limit: int, seed: str, bucket: str) -> DataFrame:
     """(region_id, position): ``chosen`` up to ``limit``, then the regions that keep pages, categories and lengths even.
 
-    Each step depends on the one before.  It needs of each (page, category, length) no more than
-    ``limit`` rows with the least keys, and pages beyond ``limit`` with the least keys bring
-    nothing new, so the candidates are reduced to that bound before one task runs the steps.
+    Each step depends on the one before.  At most ``limit`` pages are ever touched, so of each
+    (category, length) only the ``limit`` + 1 pages with the least keys can matter, and of a
+    page's rows the ``limit`` least; the candidates are reduced to that before one task runs
+    the steps.
     """
     keyed = pool.withColumn("key", sampling_key(seed, F.lit(bucket + "|fill"), F.col("page_id"), F.col("region_id")))
     cell = W.partitionBy("page_id", "category", "length_stratum").orderBy("key")
-    few = keyed.withColumn("c", F.row_number().over(cell)).where(F.col("c") <= 1)
-    kind = W.partitionBy("category", "length_stratum").orderBy("key")
-    few = few.withColumn("c", F.row_number().over(kind)).where(F.col("c") <= 2 * limit)
+    few = keyed.withColumn("c", F.row_number().over(cell)).where(F.col("c") <= limit)
+    heads = few.where("c = 1").withColumn("k", F.row_number().over(W.partitionBy("category", "length_stratum").orderBy("key"))).where(F.col("k") <= limit + 1)
+    few = few.join(heads.select("page_id", "category", "length_stratum"), ["page_id", "category", "length_stratum"], "left_semi")
     start = chosen.orderBy("stratum", "k").limit(limit).select("region_id", F.monotonically_increasing_id().alias("order"))
     rows = few.select("region_id", "page_id", "category", "length_stratum", "key", F.lit(None).cast("long").alias("order"))
     picked = start.join(keyed, "region_id").select("region_id", "page_id", "category", "length_stratum", "key", "order")

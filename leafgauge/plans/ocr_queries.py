@@ -238,7 +238,7 @@ def oracle_sql() -> dict[str, str]:
         "runtime_policy_strict": runtime("qa-blocked"),
         "runtime_policy_low_manual": runtime("paddle"),
         "arbitration_lopo_model": f"{_MODEL} select * from models",
-        "arbitration_predictions": f"{_PRED} select policy, region_id, engine, reason, distance, gold_chars from pred",
+        "arbitration_predictions": f"{_PRED} select policy, region_id, engine, reason, distance::int as distance, gold_chars::int as gold_chars from pred",
         "arbitration_reason_histogram": f"{_PRED} select policy, reason, count(*) as regions from pred group by policy, reason",
         "arbitration_metrics": f"{_PRED} select policy, {_METRIC} from pred group by policy",
         "arbitration_strata": f"{_PRED} select policy, category as stratum, {_METRIC}, 'category' as field from pred group by policy, category union all by name select policy, bubble as stratum, {_METRIC}, 'bubble' as field from pred group by policy, bubble",

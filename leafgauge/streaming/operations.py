@@ -13,9 +13,9 @@ OUT = "operation string, state string, warnings long"
 
 
 class FinalState(StatefulProcessor):
-    """Emits an operation's state once: failed or finished when seen, timed-out after the deadline."""
+    """Emits an operation's state once: failed or finished when seen, timed-out after the deadline, if there is one."""
 
-    def __init__(self, deadline_ms: int = 1_800_000):
+    def __init__(self, deadline_ms: int | None = None):
         self.deadline_ms = deadline_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -24,7 +24,7 @@ class FinalState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         warnings, done = self.seen.get() if self.seen.exists() else (0, False)
-        if not self.seen.exists():
+        if self.deadline_ms is not None and not self.seen.exists():
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.deadline_ms)
         kinds: list[str] = []
         for pdf in rows:
@@ -46,9 +46,14 @@ class FinalState(StatefulProcessor):
         pass
 
 
-def final_states(events: DataFrame, deadline_ms: int = 1_800_000) -> DataFrame:
-    """One row for each operation of a stream (operation, kind) when its end is known."""
-    return events.groupBy("operation").transformWithStateInPandas(statefulProcessor=FinalState(deadline_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
+def final_states(events: DataFrame, deadline_ms: int | None = None) -> DataFrame:
+    """One row for each operation of a stream (operation, kind) when its end is known.
+
+    With a deadline an operation without an end comes out as timed-out; its timers keep the
+    query running batches.
+    """
+    mode = "None" if deadline_ms is None else "ProcessingTime"
+    return events.groupBy("operation").transformWithStateInPandas(statefulProcessor=FinalState(deadline_ms), outputStructType=OUT, outputMode="Append", timeMode=mode)
 
 
 def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
