@@ -122,9 +122,31 @@ def scene_walk_regions(spark: SparkSession, d: str) -> DataFrame:
     return walked_regions(table(spark, d, "scene_snapshots"))
 
 
+SCENE_SCHEMA = {
+    "type": "object", "required": ["project"], "properties": {"project": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string", "pattern": "^project-[0-9]+$"}}}, "components": {"type": "array", "items": {"$ref": "#/$defs/component"}}},
+    "$defs": {"component": {"type": "object", "required": ["type", "ownerId", "pageId"], "properties": {"type": {"enum": ["SourceText", "Translation", "Geometry"]}}}},
+}
+
+
+def scene_schema_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes that break the scene schema, with their errors."""
+    from leafgauge.operators.json_documents import schema_check
+
+    s = table(spark, d, "scene_snapshots").dropDuplicates(["snapshot_id"])
+    return s.select("snapshot_id", F.explode(schema_check(SCENE_SCHEMA)(F.col("scene"))).alias("error"))
+
+
+def scene_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical hash and number of pages of each readable scene."""
+    from leafgauge.operators.json_documents import document_hash, document_page_ids
+
+    s = table(spark, d, "scene_snapshots").dropDuplicates(["snapshot_id"])
+    return s.select("snapshot_id", document_hash("scene").alias("sha256"), F.size(document_page_ids("scene")).alias("pages")).where("sha256 is not null")
+
+
 def queries() -> dict:
     found = [
-        routing_distribution, routing_by_category, routing_page_safety, routing_separation, routing_contract_violations, routing_hard_cases, region_qa_flags, region_qa_summary, chapter_duplicate_translations,
+        scene_schema_errors, scene_hashes, routing_distribution, routing_by_category, routing_page_safety, routing_separation, routing_contract_violations, routing_hard_cases, region_qa_flags, region_qa_summary, chapter_duplicate_translations,
         page_flag_lists, page_protection_plan, skipped_region_flags, glossary_mode, glossary_prompts, page_chunks, input_order, manifest_pins, fallback_ids, length_strata, scene_walk_regions,
     ]
     return {f.__name__: f for f in found}
