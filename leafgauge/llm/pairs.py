@@ -166,10 +166,10 @@ def _fit_length(sources: list[str], sizes: np.ndarray) -> np.ndarray:
     return np.linalg.solve(gram, x.T @ sizes.astype(np.float32))
 
 
-def _fit(bags: list[list[int]], y: np.ndarray, rate: float = 0.1) -> np.ndarray:
+def _fit(bags: list[np.ndarray], y: np.ndarray, rate: float = 0.1) -> np.ndarray:
     """One logistic regression for each column of ``y``, by Adam on sparse segment sums."""
     size = np.array([len(b) for b in bags])
-    flat = np.concatenate([np.array(b) for b in bags])
+    flat = np.concatenate(bags)
     owner = np.repeat(np.arange(len(bags)), size)
     used, column = np.unique(flat, return_inverse=True)
     first = np.cumsum(size) - size
@@ -295,7 +295,7 @@ def fit_pairs(pairs: list[tuple[str, str]], foreign: list[str]) -> PairClassifie
     rows, y = training_set(good, spaced(foreign))
     answers = canon([a for _, a in rows])
     expected = {s: float(length[_length_bag(_letters(s))].sum()) for s, _ in good}
-    bags = [pair_features(s, a, expected[s]) for (s, _), a in zip(rows, answers)]
+    bags = [np.array(pair_features(s, a, expected[s]), np.int32) for (s, _), a in zip(rows, answers)]
     held = np.random.default_rng(SEED).random(len(rows)) < 0.2
     train = np.flatnonzero(~held)
     weights = _fit([bags[i] for i in train], y[train])
