@@ -6,7 +6,7 @@ The generator's state grows by a constant, so no state is carried: draws are a c
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEP = 0x6D2B79F5
@@ -29,6 +29,18 @@ def mulberry(seed: Column, k: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
 
 
+def with_draw(df: DataFrame, seed: int, k: str, out: str) -> DataFrame:
+    """``df`` with draw ``k`` in ``out``, step by step: each step's value is computed once and the code stays small."""
+    mask = F.lit(MASK)
+    state = (F.lit(seed & MASK).cast("bigint") + _mul((F.col(k) + 1).bitwiseAND(mask), F.lit(STEP).cast("bigint"))).bitwiseAND(mask)
+    s, t = F.col("_state"), F.col("_t")
+    df = df.withColumn("_state", state)
+    df = df.withColumn("_t", _mul(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1))))
+    df = df.withColumn("_m", _mul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61))))
+    df = df.withColumn("_t", t.bitwiseXOR((t + F.col("_m")).bitwiseAND(mask)))
+    return df.withColumn(out, t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)).drop("_state", "_t", "_m")
+
+
 def mulberry_sql(seed: str, k: str) -> str:
     """The same draw as a scalar subquery of DuckDB."""
     s = f"((({seed})::hugeint + (({k}) + 1)::hugeint * {STEP}) % 4294967296)::bigint"
