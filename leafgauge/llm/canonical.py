@@ -175,6 +175,16 @@ def _compose(points: np.ndarray, rows: np.ndarray, t: dict[str, np.ndarray]) ->
     return points, rows
 
 
+#: So many rows of an Arrow batch are worked on at once: bounds memory, whatever the session's batch size.
+SLICE_ROWS = 1000
+
+
+def slices(batch: pa.RecordBatch):
+    """The batch in runs of SLICE_ROWS rows."""
+    for i in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(i, SLICE_ROWS)
+
+
 def canonical_array(column: pa.Array, keep_space: bool = False) -> pa.Array:
     """The canonical form of a string array."""
     t = _tables()

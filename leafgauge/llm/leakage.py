@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgauge.llm.canonical import _code_points, canonical_array
+from leafgauge.llm.canonical import _code_points, canonical_array, slices
 
 SHARE = 0.4
 DENSITY = 0.72
@@ -262,7 +262,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         def count(batches, index=index):
             ix = index.value
             total = np.zeros(len(ix.distinct), np.int64)
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 points, rows = letters(batch.column(0))
                 where, which = ix.lookup(points, rows)
                 seen = np.unique(rows[where].astype(np.int64) * len(ix.distinct) + which)
@@ -280,7 +280,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
         def search(batches, ready=ready):
             ix = ready.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 hits = _leaks(ix, batch.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ix.ids[i] for _, i, _ in hits], pa.int64() if id_type == "bigint" else None), batch.column(0).take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([s for _, _, s in hits], pa.float64())],
