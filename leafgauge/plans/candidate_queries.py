@@ -42,9 +42,9 @@ def translation_review_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def translation_structural_flags(spark: SparkSession, d: str) -> DataFrame:
     """Counts of structural codes per model over answers with a valid source, deliveries counted once."""
-    t = table(spark, d, "translation_candidates").dropDuplicates(["candidate_row"]).where("text is not null")
-    s = D.regions(spark, d).select("region_id", F.coalesce("source_text", F.lit("")).alias("source"))
-    flags = t.join(s, "region_id").select("model", F.explode(translation.structural_flags(F.col("text"), F.col("source"))).alias("code"))
+    t = table(spark, d, "translation_candidates").select("candidate_row", "region_id", "model", "text").dropDuplicates(["candidate_row"]).where("text is not null")
+    s = D.regions(spark, d).select("region_id", F.coalesce("source_text", F.lit("")).alias("region_source"))
+    flags = t.join(s, "region_id").select("model", F.explode(translation.structural_flags(F.col("text"), F.col("region_source"))).alias("code"))
     return flags.groupBy("model", "code").agg(F.count("*").alias("answers"))
 
 
