@@ -96,12 +96,16 @@ def pair_features(source: str, answer: str, expected: float) -> list[int]:
     out.add(_hash("copied", f"{kana}{round(10 * back)}"))
     out.add(_hash("copied2", f"{kana}{round(10 * min(back, of))}"))
     out.add(_hash("same", f"{kana}{a == s}"))
-    out.add(_hash("foreign", f"{counts['kana'] > 1}{back > 0.5}"))
+    out.update(_hash(f"foreign{k}", f"{chinese > 0.5}{round(5 * counts['kana'] / words)}{round(10 * min(back, of))}{kana}") for k in range(3))
     short = expected - len(a)
     mostly = chinese > 0.5
     out.add(_hash("short", f"{mostly}{int(np.clip(np.round(short), -6, 12))}"))
     out.add(_hash("far", f"{mostly}{short > 5}{short > 0.3 * expected + 2}"))
     out.add(_hash("ratio", f"{mostly}{round(10 * float(np.clip(len(a) / max(expected, 1), 0, 2)))}"))
+    lost = int(np.clip(10 * short / max(expected, 1), -3, 10))
+    out.update(_hash(f"lost{k}", f"{mostly}{lost}") for k in range(3))
+    ended = lambda t: len(re.findall(r"[。.！!？?…]+", t))
+    out.add(_hash("sentences", f"{mostly}{int(np.clip(ended(source) - ended(answer), -2, 4))}{short > 3}{lost > 1}"))
     end = answer.rstrip("」』”\"')）")[-1:]
     final = "stop" if end in "。！？!?.…ー~♪" else "pause" if end in "，、,;；:：—-" else "none"
     out.add(_hash("end", f"{mostly}{final}"))
@@ -303,7 +307,7 @@ def fit_pairs(pairs: list[tuple[str, str]], foreign: list[str]) -> PairClassifie
     thresholds = np.zeros(len(DEFECTS))
     for c in range(len(DEFECTS)):
         truth = y[held, c] > 0
-        grid = np.arange(-2, 5.01, 0.25)
+        grid = np.arange(-5, 5.01, 0.25)
         # Sound pairs are far commoner than in the training set and weigh so much more.
         each = np.where(y[held].any(1), 1.0, SOUND_WEIGHT)
         f1 = np.array([2 * np.sum(truth & (z[:, c] > g)) / max(truth.sum() + each[z[:, c] > g].sum(), 1) for g in grid])
