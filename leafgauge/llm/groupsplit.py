@@ -34,9 +34,9 @@ FULL_WIDTH_DIGITS = "０１２３４５６７８９"
 
 
 def page_number(page: Column) -> Column:
-    """The number that the digits of a page id carry, in any spelling; null without digits."""
+    """The number that the digits of a page id carry, in any spelling; null without digits or beyond 64 bits."""
     digits = F.regexp_replace(F.translate(page, FULL_WIDTH_DIGITS, "0123456789"), "[^0-9]", "")
-    return F.when(digits != "", digits.cast("decimal(38,0)")).cast("long")
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def known_hash(sha: Column) -> Column:
@@ -162,7 +162,7 @@ def assign_splits(rows: DataFrame, manifests: DataFrame, shares: dict[str, float
     """
     labels, _ = spanning_forest(page_edges(manifests, rows.select("region_id", "page_id")))
     own = rows.select("row_table", "row_id", page_number(F.col("page_id")).alias("page"))
-    rooted = own.join(labels, "page", "left").withColumn("root", F.coalesce("root", "page", -F.abs(F.xxhash64("row_table", "row_id")) % F.lit(2**62)))
+    rooted = own.join(labels, "page", "left").withColumn("root", F.coalesce("root", "page", -1 - F.pmod(F.xxhash64("row_table", "row_id"), F.lit(2**62))))
     rooted = cut(rooted)
     dealt = deal_roots(rooted.groupBy("root").agg(F.count("*").alias("size")), shares, seed)
     out = rooted.join(dealt, "root").select("row_table", "row_id", F.col("page").alias("page_id"), F.when(F.col("page").isNotNull(), F.col("root")).alias("group_page_id"), "split")

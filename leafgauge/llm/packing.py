@@ -12,8 +12,8 @@ badly filled are dissolved and their items dealt to new shards for another round
 shard borders doesn't grow with the number of shards.
 
 A task holds one shard's sizes and ids (SHARD_ITEMS), never a text or a hot source's rows.
-Shards are formed by hash buckets of the id, so their size is bounded in expectation and a
-group larger than twice the bound is cut again inside its task.
+Shards are formed by hash buckets of the id, so their size is bounded in expectation whatever
+the sources or sizes of the documents.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def token_sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
 def items_of(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, token_start, size): one item a document, or the cuts of one that exceeds a container.
 
-    Documents without tokens are items of size 0: they take no space and all go to container 0 of their shard.
+    Documents without tokens are items of size 0: they take no space in some container.
     """
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     start = (F.col("piece") * capacity).cast("long")

@@ -119,7 +119,7 @@ def test_forest_against_union_find(spark):
 
 def test_splits(spark):
     m = spark.createDataFrame([("pg-00000001", "AB" * 32, None), ("pg-00000002", "ab" * 32, None), ("pg-00000003", "f" * 64, "Pg 4"), ("pg-00000004", "F" * 64, None), ("pg-00000005", None, None), ("pg-00000006", "0" * 64, None)], "page_id string, sha256 string, reissue_of string")
-    rows = [("t", i, f"r{i}", p) for i, p in enumerate(["pg_1", " pg-００００００02 ", "PG-3", "pg‐00000004", "pg-5", "pg-6", None, "none", "pg-99"])] + [("u", 0, "r4", "pg-6"), ("u", 1, None, "pg-5"), ("t", 0, "r0", "pg_1")]
+    rows = [("t", i, f"r{i}", p) for i, p in enumerate(["pg_1", " pg-００００００02 ", "PG-3", "pg‐00000004", "pg-5", "pg-6", None, "none", "pg-99", "pg-" + "9" * 40])] + [("u", 0, "r4", "pg-6"), ("u", 1, None, "pg-5"), ("t", 0, "r0", "pg_1")]
     r = spark.createDataFrame(rows, "row_table string, row_id long, region_id string, page_id string")
     works = rows_of(groupsplit.works_of_pages(m, r), ["group_page_id", "page_id"])
     assert works == [("pg-00000001", "pg-00000002"), ("pg-00000003", "pg-00000004"), ("pg-00000005", "pg-00000006")]
