@@ -13,6 +13,11 @@ in rounds: the label goes to the text's sentences that the model of the round be
 most telling, the rest count as none.  Labels may be wrong: texts whose label the model,
 trained without them (by folds), contradicts with certainty are left out of the last round.
 
+What wording is common is counted over the sentences of all documents, whole texts, in two
+partial aggregations.  Only wording whose sentences a first model holds harmless is common, so
+abuse doesn't hide itself by being frequent.  Corpus sentences that a model fitted on the
+labelled texts alone doubts don't train as harmless ones.
+
 A document's score for a category is the greatest of its sentences; a document uses the
 category when the score reaches the threshold chosen on the folds.
 """
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgauge.llm.canonical import canonical_array, slices
+from leafgauge.session import cut
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 BUCKET_BITS = 18
@@ -48,8 +54,16 @@ DECAY = 0.02
 MAX_LABELLED = 20_000
 #: So many sentences of the corpus, from the documents least by a hash, train as presumably harmless ones.
 MAX_PRESUMED = 3000
-#: Wording is common when so many sentences of that sample share it.
+#: Wording is common when so many harmless sentences of the corpus share it, and one in SPREAD of them.
 COMMON = 5
+SPREAD = 4000
+#: Least part of harmless sentences among those that share common wording; words with a greater part of telling ones are telling themselves.
+HARMLESS = 0.9
+TELLING = 0.5
+#: Corpus sentences to which a model of the labelled texts alone gives this probability of any category don't train as harmless.
+DOUBT = 0.25
+#: A task passes its counts on when it holds those of so many words.
+MAX_HELD = 200_000
 #: Sentences whose share of common wording is in this lowest part of their script are not taken for harmless.
 UNUSUAL = 0.1
 #: At most so many sentences that a first model finds in the corpus train a second one.
@@ -63,7 +77,7 @@ DAMPING = 0.1
 #: Least threshold.
 LEAST = 0.13
 PRESUMED_DOCUMENTS = 1500
-#: So many of their sentences tell what wording is common.
+#: At most so many of their sentences are looked through for those that train.
 MAX_SAMPLED = 20_000
 FOLDS = 3
 SEED = 7
@@ -188,13 +202,19 @@ def _fit(parts: list[str], target: np.ndarray, weight: np.ndarray, steps: int =
 def _sentence_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
     """Softmax (none and the categories) of each sentence, in runs of bounded size."""
     out = np.zeros((len(parts), 4))
+    for begin, end in _runs(parts):
+        out[begin:end] = _run_scores(table, parts[begin:end])
+    return out
+
+
+def _runs(parts: list[str]):
+    """(begin, end) of runs of about RUN_CHARS letters."""
     begin, size = 0, 0
     for i, s in enumerate(parts):
         size += len(s) + 2
         if size >= RUN_CHARS or i == len(parts) - 1:
-            out[begin : i + 1] = _run_scores(table, parts[begin : i + 1])
+            yield begin, i + 1
             begin, size = i + 1, 0
-    return out
 
 
 def _run_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
@@ -216,15 +236,31 @@ def _run_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+@dataclass
+class Wording:
+    """What the corpus' harmless sentences share: grams, words, and how much of each sentence its grams make up.
+
+    ``reference``: share of common grams, script and number of sentences.  ``telling``: words
+    of mostly telling sentences.
+    """
+
+    grams: np.ndarray
+    reference: tuple[np.ndarray, np.ndarray, np.ndarray]
+    words: frozenset[str] = frozenset()
+    telling: frozenset[str] = frozenset()
+
+
 @dataclass
 class Moderator:
-    """The fitted table, the corpus' common wording and the threshold of each category."""
+    """The fitted table, the threshold of each category and the corpus' common wording."""
 
     table: np.ndarray
     thresholds: tuple[float, ...]
-    frequency: np.ndarray | None = None
-    reference: tuple[np.ndarray, np.ndarray] | None = None
-    words: frozenset[str] = frozenset()
+    wording: Wording | None = None
+
+    @property
+    def words(self) -> frozenset[str]:
+        return self.wording.words if self.wording else frozenset()
 
     def _known(self, words: list[str]) -> bool:
         """All words are common; the first and last may be pieces of common ones (texts break off), and of
@@ -242,19 +278,21 @@ class Moderator:
         return frozenset(w[:i] for w in self.words if w.isascii() for i in range(1, len(w)))
 
     def usual(self, parts: list[str]) -> np.ndarray:
-        """Sentences of common wording: by the rank of their grams, or all of whose words are common."""
-        known = np.array([self._known(_words(s)) for s in parts], bool)
-        return known | (_familiar(parts, self.frequency, self.reference) >= UNUSUAL)
+        """Sentences of common wording: by the rank of their grams, or all of whose words are common; none with a telling word."""
+        words = [_words(s) for s in parts]
+        known = np.array([self._known(w) for w in words], bool)
+        clear = np.array([self.wording.telling.isdisjoint(w) for w in words], bool)
+        return clear & (known | (_familiar(parts, self.wording) >= UNUSUAL))
 
     def sentence_scores(self, parts: list[str]) -> np.ndarray:
         """(sentences, 3): the probability of any category, given to the one or two that hold most of it.
 
-        Unless the model is sure, wording that is common in the corpus is damped: what a
-        thousand harmless sentences say is no evidence.
+        Unless the model is sure, wording that is common in the corpus' harmless sentences is
+        damped: what a thousand of them say is no evidence.
         """
         p = _sentence_scores(self.table, parts)
         some = 1 - p[:, :1]
-        if self.frequency is not None:
+        if self.wording is not None:
             doubt = np.flatnonzero((some[:, 0] > 0.05) & (some[:, 0] < SURE_ALL))
             if len(doubt):
                 some[doubt[self.usual([parts[i] for i in doubt])]] *= DAMPING
@@ -266,7 +304,7 @@ class Moderator:
         """Index and category (1 to 3) of the sentences that are surely telling and of unusual wording."""
         p = _sentence_scores(self.table, parts)
         hit = np.flatnonzero(p[:, 0] < SURE)
-        if self.frequency is not None and len(hit):
+        if self.wording is not None and len(hit):
             hit = hit[~self.usual([parts[i] for i in hit])]
         return hit, p[hit, 1:].argmax(1) + 1
 
@@ -290,41 +328,146 @@ def _words(sentence: str) -> list[str]:
     return [m[1] or m[0] for m in _WORDS.finditer(sentence) if m[1] or m[0]]
 
 
-def common_words(presumed: dict[str, int]) -> frozenset[str]:
-    """Words of at least COMMON sentences of the corpus sample."""
-    counts: Counter[str] = Counter()
-    for sentence, n in presumed.items():
-        for w in set(_words(sentence)):
-            counts[w] += n
-    return frozenset(w for w, n in counts.items() if n >= COMMON)
+class _Tally:
+    """In how many harmless (0) and telling (1) sentences each word and each hashed gram of three or four letters occurs."""
+
+    def __init__(self):
+        self.total = np.zeros(2, np.int64)
+        self.grams = np.zeros((2, BUCKETS), np.int64)
+        self.words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
+    def add(self, parts: list[str], counts: np.ndarray, table: np.ndarray) -> None:
+        for begin, end in _runs(parts):
+            run, often = parts[begin:end], counts[begin:end]
+            told = _held_telling(table, run).astype(np.int64)
+            bucket, owner = grams(run, (3, 4))
+            pair = np.unique(owner * BUCKETS + bucket)
+            owner = pair // BUCKETS
+            self.total += np.bincount(told, weights=often, minlength=2).astype(np.int64)
+            place = told[owner] * BUCKETS + pair % BUCKETS
+            self.grams += np.bincount(place, weights=often[owner], minlength=2 * BUCKETS).astype(np.int64).reshape(2, BUCKETS)
+            for s, n, k in zip(run, often.tolist(), told.tolist()):
+                for w in set(_words(s)):
+                    self.words[k][w] += n
 
-def _frequency(presumed: dict[str, int]) -> np.ndarray:
-    """In how many of the corpus sentences each hashed gram of three or four letters occurs."""
-    bucket, owner = grams(list(presumed), (3, 4))
-    pair = np.unique(owner * BUCKETS + bucket)
-    return np.bincount(pair % BUCKETS, weights=np.array([*presumed.values(), 0], float)[pair // BUCKETS], minlength=BUCKETS)
 
+def _held_telling(table: np.ndarray, parts: list[str]) -> np.ndarray:
+    """Sentences to which the model gives the least threshold or more."""
+    return 1 - _sentence_scores(table, parts)[:, 0] >= LEAST
 
-def _share(parts: list[str], frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bucket, owner = grams(parts, (3, 4))
-    n = np.maximum(np.bincount(owner, minlength=len(parts)), 1)
+
+def _least(total) -> int:
+    """In how many harmless sentences common wording occurs at least."""
+    return max(COMMON, -(-int(total) // SPREAD))
+
+
+def _common(harmless, telling, least: int):
+    return (harmless >= least) & (harmless >= HARMLESS * (harmless + telling))
+
+
+def _share(parts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Part of each sentence's grams that are common, in thousandths, and whether its script is a wide one."""
     wide = np.array([sum(c >= "\u2e80" for c in s) * 2 > len(s) for s in parts], bool)
-    return np.bincount(owner, weights=frequency[bucket] >= COMMON, minlength=len(parts)) / n, wide
+    out = np.zeros(len(parts))
+    for begin, end in _runs(parts):
+        bucket, owner = grams(parts[begin:end], (3, 4))
+        n = np.maximum(np.bincount(owner, minlength=end - begin), 1)
+        out[begin:end] = np.bincount(owner, weights=common[bucket], minlength=end - begin) / n
+    return np.round(out, 3), wide
 
 
-def _familiar(parts: list[str], frequency: np.ndarray, reference: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Share of each sentence's grams that are common in the corpus sample, in ranks of its script's corpus sentences."""
-    share, wide = _share(parts, frequency)
+def _familiar(parts: list[str], wording: Wording) -> np.ndarray:
+    """Share of each sentence's grams that are common in the corpus, in ranks of its script's harmless corpus sentences."""
+    share, wide = _share(parts, wording.grams)
     out = np.zeros(len(parts))
-    base, base_wide = reference
+    base, base_wide, number = wording.reference
     for w in (False, True):
-        ranks = np.sort(base[base_wide == w])
-        out[wide == w] = np.searchsorted(ranks, share[wide == w], "right") / max(len(ranks), 1)
+        own = base_wide == w
+        order = np.argsort(base[own])
+        below = np.append(0, np.cumsum(number[own][order]))
+        out[wide == w] = below[np.searchsorted(base[own][order], share[wide == w], "right")] / max(below[-1], 1)
     return out
 
 
-def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, presumed: dict[str, int], found: dict[str, int], rounds: int = 2) -> np.ndarray:
+def local_wording(presumed: dict[str, int], table: np.ndarray | None = None) -> Wording:
+    """Wording of the given sentences, held harmless or telling by ``table`` or all harmless."""
+    if table is None:
+        table = np.zeros((BUCKETS + 1, 4), np.float32)
+        table[BUCKETS, 0] = 9
+    parts = list(presumed)
+    tally = _Tally()
+    tally.add(parts, np.array([presumed[s] for s in parts], np.int64), table)
+    least = _least(tally.total.sum())
+    common = _common(*tally.grams, least)
+    harmless = [s for s, t in zip(parts, _held_telling(table, parts)) if not t]
+    share, wide = _share(harmless, common)
+    words, told = tally.words
+    return Wording(
+        common, (share, wide, np.ones(len(share), np.int64)), frozenset(w for w, n in words.items() if _common(n, told[w], least)),
+        frozenset(w for w, n in told.items() if n + words[w] >= least and n > TELLING * (n + words[w])),
+    )
+
+
+def corpus_wording(documents: DataFrame, table: np.ndarray) -> Wording:
+    """Wording of all sentences of all documents, each held harmless or telling by ``table``.
+
+    Tasks count grams and words; the driver gets the grams' buckets and the words of at least
+    one sentence in SPREAD.  The ranks are those of distinct harmless sentences.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+    texts = documents.where("text is not null").select("text")
+    names = ["kind", "word", "harmless", "telling"]
+
+    def words_of(tally):
+        keys = sorted(tally.words[0].keys() | tally.words[1].keys())
+        counts = [pa.array([tally.words[k][w] for w in keys], pa.int64()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array([-1] * len(keys), pa.int64()), pa.array(keys, pa.string()), *counts], names)
+
+    def count(batches):
+        tally = _Tally()
+        for batch in (part for whole in batches for part in slices(whole)):
+            counts = Counter(sentences(batch.column(0))[0])
+            tally.add(list(counts), np.array(list(counts.values()), np.int64), shared.value)
+            if len(tally.words[0]) + len(tally.words[1]) > MAX_HELD:
+                yield words_of(tally)
+                tally.words = (Counter(), Counter())
+        yield words_of(tally)
+        used = np.flatnonzero(tally.grams.any(0))
+        columns = [np.append(-2, used), *[np.append(tally.total[k], tally.grams[k][used]) for k in (0, 1)]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.nulls(len(used) + 1, pa.string()), pa.array(columns[1]), pa.array(columns[2])], names)
+
+    per = texts.mapInArrow(count, "kind long, word string, harmless long, telling long").groupBy("kind", "word").agg(F.sum("harmless").alias("harmless"), F.sum("telling").alias("telling"))
+    per = cut(per)
+    tally = _Tally()
+    total = 0
+    for r in per.where("kind <> -1").collect():
+        if r.kind == -2:
+            total = r.harmless + r.telling
+        else:
+            tally.grams[:, r.kind] = r.harmless, r.telling
+    least = _least(total)
+    words = per.where((F.col("kind") == -1) & (F.col("harmless") + F.col("telling") >= least)).collect()
+    common = _common(*tally.grams, least)
+    ranked = documents.sparkSession.sparkContext.broadcast(common)
+
+    def rank(batches):
+        for batch in (part for whole in batches for part in slices(whole)):
+            parts = sorted(set(sentences(batch.column(0))[0]))
+            parts = [s for s, t in zip(parts, _held_telling(shared.value, parts)) if not t]
+            share, wide = _share(parts, ranked.value)
+            names = [int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for s in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(share), pa.array(wide)], ["sentence", "share", "wide"])
+
+    each = texts.mapInArrow(rank, "sentence long, share double, wide boolean").distinct()
+    ranks = each.groupBy("share", "wide").agg(F.count("*").alias("n")).collect()
+    reference = (np.array([r.share for r in ranks], float), np.array([r.wide for r in ranks], bool), np.array([r.n for r in ranks], np.int64))
+    return Wording(
+        common, reference, frozenset(r.word for r in words if _common(r.harmless, r.telling, least)),
+        frozenset(r.word for r in words if r.telling > TELLING * (r.harmless + r.telling)),
+    )
+
+
+def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, presumed: dict[str, int], found: dict[str, int], wording: Wording, rounds: int = 2) -> np.ndarray:
     """Fit sentence targets from text labels, reassigning them between rounds.
 
     Of a labelled text the sentence least like the corpus gets the label first.  A corpus
@@ -332,11 +475,9 @@ def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, presumed: di
     """
     table = None
     known = list(found)
-    frequency = _frequency(presumed)
-    reference = _share(list(presumed), frequency)
     more = list(presumed)[:MAX_PRESUMED]
-    own = _familiar(parts, frequency, reference)
-    usual = _familiar(more, frequency, reference)
+    own = _familiar(parts, wording)
+    usual = _familiar(more, wording)
     often = np.array([presumed[s] for s in more], np.float32)
     extra = len(parts) + len(more)
     for _ in range(rounds):
@@ -364,10 +505,12 @@ def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, presumed: di
     return table
 
 
-def fit_moderator(texts: list[str | None], labels: np.ndarray, presumed: dict[str, int] | None = None, search=None) -> Moderator:
-    """Train on labelled texts; ``labels`` is (n, 3) of 0 and 1; ``presumed``: harmless
-    sentences with their counts, with few exceptions.  ``search``: given a model, returns telling
-    sentences of the corpus with their category (1 to 3), which train another round.
+def fit_moderator(texts: list[str | None], labels: np.ndarray, presumed: dict[str, int] | None = None, search=None, survey=None) -> Moderator:
+    """Train on labelled texts; ``labels`` is (n, 3) of 0 and 1; ``presumed``: corpus
+    sentences with their counts, harmless with few exceptions; those the labelled texts cast doubt on
+    don't train.  ``search``: given a model, returns telling sentences of the corpus with their
+    category (1 to 3), which train another round.  ``survey``: given a table, returns the wording of
+    the corpus; without it that of ``presumed`` is taken.
     """
     column = pa.array(texts, pa.string())
     parts, rows = sentences(column)
@@ -379,28 +522,33 @@ def fit_moderator(texts: list[str | None], labels: np.ndarray, presumed: dict[st
     _, same = np.unique([re.sub(r"\W+|\d+", "", t or "") for t in texts], return_inverse=True)
     fold = np.random.default_rng(SEED).integers(0, FOLDS, same.max() + 1)[same]
     held = np.zeros((len(texts), 3))
-    frequency = _frequency(presumed)
-    reference = _share(list(presumed), frequency)
-    words = common_words(presumed)
+    # The labels speak first: of the presumed sentences only those train that they don't cast doubt on.
+    clean = Counter(parts[j] for j in np.flatnonzero(~labels[rows].any(1)))
+    first = _rounds(parts, rows, labels, clean, {}, local_wording(clean))
+    doubt = 1 - _sentence_scores(first, list(presumed))[:, 0] >= DOUBT
+    given = presumed
+    presumed = {s: n for (s, n), d in zip(given.items(), doubt) if not d}
+    first = _rounds(parts, rows, labels, presumed, {}, local_wording(presumed))
+    wording = survey(first) if survey is not None else local_wording(given, first)
     for k in range(FOLDS):
         train = np.flatnonzero(fold[rows] != k)
-        table = _rounds([parts[j] for j in train], rows[train], labels, presumed, {})
-        held[fold == k] = Moderator(table, (), frequency, reference, words).score(column)[fold == k]
+        table = _rounds([parts[j] for j in train], rows[train], labels, presumed, {}, wording)
+        held[fold == k] = Moderator(table, (), wording).score(column)[fold == k]
     # A label is taken for wrong where the folds deny it and the wording is common in the corpus, or where they are certain of another.
     rare = np.ones(len(texts))
-    np.minimum.at(rare, rows, _familiar(parts, frequency, reference))
+    np.minimum.at(rare, rows, _familiar(parts, wording))
     wrong = np.any((held > 0.9) & ~labels, 1) | (labels.any(1) & (held.max(1) < 0.1) & (rare >= UNUSUAL))
     good = np.flatnonzero(~wrong[rows])
-    table = _rounds([parts[j] for j in good], rows[good], labels, presumed, {})
+    table = _rounds([parts[j] for j in good], rows[good], labels, presumed, {}, wording)
     if search is not None:
-        table = _rounds([parts[j] for j in good], rows[good], labels, presumed, search(Moderator(table, (0.5,) * 3, frequency, reference, words)))
+        table = _rounds([parts[j] for j in good], rows[good], labels, presumed, search(Moderator(table, (0.5,) * 3, wording)), wording)
     thresholds = []
     for c in range(3):
         y, s = labels[~wrong, c], held[~wrong, c]
         grid = np.arange(LEAST, 0.5, 0.05)
         f1 = np.array([2 * np.sum(y & (s >= g)) / max(np.sum(y) + np.sum(s >= g), 1) for g in grid])
         thresholds.append(float(grid[int(np.argmax(f1))]))
-    return Moderator(table, tuple(thresholds), frequency, reference, words)
+    return Moderator(table, tuple(thresholds), wording)
 
 
 def presumed_sentences(documents: DataFrame) -> dict[str, int]:
@@ -431,7 +579,7 @@ def train_moderator(labelled: DataFrame, documents: DataFrame, limit: int = MAX_
     """Fit on at most ``limit`` labelled rows (sample_text, abusive, hateful, sexual), the first by label_id."""
     rows = labelled.where("sample_text is not null").orderBy("label_id").select("sample_text", *[F.coalesce(c, F.lit(0)).alias(c) for c in CATEGORIES]).limit(limit).collect()
     labels = np.array([[r[c] for c in CATEGORIES] for r in rows]).reshape(-1, 3)
-    return fit_moderator([r.sample_text for r in rows], labels, presumed_sentences(documents), lambda model: telling_sentences(documents, model))
+    return fit_moderator([r.sample_text for r in rows], labels, presumed_sentences(documents), lambda model: telling_sentences(documents, model), lambda table: corpus_wording(documents, table))
 
 
 def score_documents(documents: DataFrame, model: Moderator) -> DataFrame:

@@ -333,3 +333,16 @@ def test_moderation_edges(spark, moderator):
     assert moderation.flagged_documents(s.limit(0)).count() == 0
     none = moderation.fit_moderator([None, "a"], np.zeros((2, 3)))
     assert none.score(pa.array(["a", None])).max() <= 1 and none.thresholds == (2.0,) * 3
+
+
+def test_moderation_frequent_abuse(spark, data):
+    """A source with a third of all rows doesn't make its abuse common wording."""
+    labelled = spark.read.parquet(f"{data}/labelled_texts.parquet")
+    documents = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "source", "text").where("text is not null")
+    abuse = ["You are a worthless piece of trash and everybody here knows it.", "Shut your mouth, you braindead idiot.", "你这个没用的废物，滚出去。", "黙れ、このクズ野郎。"]
+    n = documents.count()
+    loud = spark.createDataFrame([(10**9 + i, "loud", f"Page {i} is done. {abuse[i % 4]}") for i in range(n // 2)], "doc_id long, source string, text string")
+    model = moderation.train_moderator(labelled, documents.unionByName(loud))
+    scores = model.score(pa.array(abuse, pa.string()))[:, 0]
+    assert (scores >= model.thresholds[0]).all(), scores
+    assert not model.usual(moderation.sentences(pa.array(abuse, pa.string()))[0]).any()
