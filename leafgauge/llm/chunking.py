@@ -16,8 +16,9 @@ Defined results: the valid version of a region is the row with the greatest ``up
 text has size 0 and gives an empty fragment, so every region lies in some piece; null
 ``region_order`` sorts last; a null or non-positive ``max_chars`` is no limit; pages missing
 from the manifest follow the listed ones, each a segment of its own; a chapter without a
-manifest has no limit.  Repeated pages are counted in the limit and may take half of it; of
-those that don't fit the farther ones are left out.
+manifest has no limit.  Repeated pages are counted in the limit and may take all of it but one
+part in NEW_PART for new text; of a page that doesn't fit the tail is repeated, from the first
+region or sentence that does, else from within a sentence; pages before it are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ SEGMENT_PAGES = 16
 DENSE_REGIONS = 2000
 ORDER_BLOCK = 512
 HASH_WIDTH = 16
+NEW_PART = 8
 SENTENCE_ENDS = "。．.！!？?…\n"
 _FAR = 1 << 40
 
@@ -70,7 +72,7 @@ def cut_points(points: np.ndarray, level: np.ndarray, limit: int, overlap_of) ->
     n, s, before = len(points), 0, 0
     h = _rolling(points)
     while True:
-        repeat = overlap_of(s, before, limit // 2)
+        repeat = overlap_of(s, before, limit - max(1, limit // NEW_PART))
         room = max(1, limit - repeat)
         if n - s <= room:
             yield s, n, repeat
@@ -117,6 +119,17 @@ def _cut_segment(pdf: pd.DataFrame) -> pd.DataFrame:
 
     chosen: dict[int, list[tuple[int, int, int]]] = {}
 
+    def tail(part: list[tuple[int, int, int]], room: int) -> list[tuple[int, int, int]]:
+        """The end of a page part in at most ``room``."""
+        out: list[tuple[int, int, int]] = []
+        for i, a, b in reversed(part):
+            if b - a > room:
+                at = next((k for k in range(b - room, b) if texts[i][k - 1] in SENTENCE_ENDS), b if out else b - room)
+                return [(i, at, b), *out] if at < b else out
+            out = [(i, a, b), *out]
+            room -= b - a
+        return out
+
     def overlap_of(s: int, before: int, room: int) -> int:
         source = context_spans if s == 0 else spans(before, s, False)
         taken: list[tuple[int, int, int]] = []
@@ -124,7 +137,12 @@ def _cut_segment(pdf: pd.DataFrame) -> pd.DataFrame:
         for page in dict.fromkeys(pages[i] for i, _, _ in reversed(source)):
             part = [x for x in source if pages[x[0]] == page]
             size = sum(b - a for _, a, b in part)
-            if len(seen) == wanted or used + size > room:
+            if len(seen) == wanted:
+                break
+            if used + size > room:
+                part = tail(part, room - used)
+                used += sum(b - a for _, a, b in part)
+                taken = part + taken
                 break
             seen.append(page)
             used += size

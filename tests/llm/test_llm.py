@@ -73,6 +73,17 @@ def test_pieces(spark):
     assert far(key(f)) == far(key(chunking.split_oversized(r2, m2)))
 
 
+def test_pieces_repeat_pages_up_to_the_limit(spark):
+    """Pages of over half the limit are repeated whole, longer ones by their tail from a sentence's begin."""
+    pages = [["あ" * 69 + "。"], ["い" * 69 + "。"], ["う" * 45 + "。" + "え" * 46 + "。"], ["お" * 49 + "。"]]
+    r, m = chapter(spark, pages, 100, 1)
+    f = chunking.split_oversized(r, m).cache()
+    sizes = f.groupBy("seg", "block", "local_piece").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("n"), F.sum(F.when(F.col("repeated"), F.length("fragment_text")).otherwise(0)).alias("old")).orderBy("seg", "block", "local_piece").collect()
+    assert max(x.n for x in sizes) <= 100 and [x.old > 0 for x in sizes] == [False] + [True] * (len(sizes) - 1)
+    assert "あ" * 69 + "。" in {x.fragment_text for x in f.where("repeated").collect()}
+    assert new_text(f) == {f"r{p}-{k}": t for p, ts in enumerate(pages) for k, t in enumerate(ts)}
+
+
 def test_pieces_of_nothing_and_of_dense_pages(spark, monkeypatch):
     r, m = chapter(spark, [["a"]], 0, 0)
     assert chunking.items_over_limit(chunking.split_oversized(r, m)).count() == 0
