@@ -12,7 +12,7 @@ from leafgauge.plans import domain as D
 from leafgauge.session import cut, table
 
 SEED = 20260815
-REPLICATES = 200
+REPLICATES = 5000
 CANDIDATES = ("cand-01", "cand-02", "cand-03")
 PHASES = ["view", "click", "signup", "purchase", "error"]
 

@@ -12,7 +12,7 @@ from leafgauge.session import cut, table
 
 MIN_SUPPORT = 5
 SEED = 20260811
-REPLICATES = 200
+REPLICATES = 5000
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:

@@ -24,3 +24,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(__spark_entry__.queries())
+
+
+def test_bootstrap_replicates(spark, data, monkeypatch):
+    """Both bootstraps are registered with the reference's replicates."""
+    seen = []
+    monkeypatch.setattr(candidate_queries.translation, "paired_bootstrap", lambda df, a, b, metric, replicates, seed: seen.append((replicates, seed)) or df.limit(0))
+    monkeypatch.setattr(ocr_queries.ocr, "bootstrap", lambda pred, replicates, seed: seen.append((replicates, seed)))
+    candidate_queries.paired_bootstrap_ci(spark, data)
+    ocr_queries.arbitration_bootstrap_ci(spark, data)
+    assert seen == [(5000, 20260815)] * 3 + [(5000, 20260811)]
