@@ -8,7 +8,8 @@ a sentence, else the landmark itself.  An edit moves only the boundaries next to
 A chapter may hold a third of all regions, so it isn't one group.  Hard landmarks (pages
 whose id's hash is 0 modulo SEGMENT_PAGES) divide it into segments that are cut on their own;
 pages of more than DENSE_REGIONS regions are divided again by blocks of the region order.
-Pages repeated at a segment's start come along as context rows.  Chapters within their limit
+The last pages with regions before a start, listed or not, come along as context rows to be
+repeated there; of dense pages the last blocks, and a block's start repeats the block before.  Chapters within their limit
 are one piece and never leave the JVM.
 
 Defined results: the valid version of a region is the row with the greatest ``updated_at``
@@ -191,16 +192,23 @@ def split_oversized(regions: DataFrame, manifests: DataFrame) -> DataFrame:
     pages = pages.select("chapter_id", "page_id", "max_chars", "overlap_pages", (F.col("page_regions") > DENSE_REGIONS).alias("dense"), F.coalesce("page_no", unlisted).alias("page_no"), F.coalesce("seg", unlisted).alias("seg"))
     # A dense page is a segment of its own, and what follows it starts another.
     pages = pages.withColumn("seg", F.when(F.col("dense"), F.col("page_no")).otherwise(F.greatest("seg", F.coalesce(F.max(F.when(F.col("dense"), F.col("page_no") + 1)).over(running), F.lit(0)))))
-    starts = pages.groupBy("chapter_id", "seg").agg(F.min("page_no").alias("from_page"))
-    before = pages.where("overlap_pages > 0 and not dense").select("chapter_id", "page_id", "max_chars", "overlap_pages", "page_no", F.explode(F.sequence(F.lit(1), "overlap_pages")).alias("j"))
-    before = before.withColumn("from_page", F.col("page_no") + F.col("j")).join(starts, ["chapter_id", "from_page"]).select("chapter_id", "page_id", "max_chars", "overlap_pages", F.lit(False).alias("dense"), "page_no", "seg", F.lit(True).alias("context"))
-    placed = pages.withColumn("context", F.lit(False)).unionByName(before).withColumnsRenamed({"chapter_id": "p_chapter", "page_id": "p_page"})
+    placed = pages.withColumnsRenamed({"chapter_id": "p_chapter", "page_id": "p_page"})
 
     rows = valid.join(placed, (F.col("chapter_id") == F.col("p_chapter")) & F.col("page_id").eqNullSafe(F.col("p_page"))).drop("p_chapter", "p_page")
     null_block = F.when(F.col("region_order").isNull() & F.col("dense"), F.pmod(F.xxhash64("region_key"), F.lit(ORDER_BLOCK))).otherwise(-1)
     rows = rows.withColumn("null_block", null_block)
     block = F.when(~F.col("dense"), 0).when(F.col("null_block") >= 0, F.lit(_FAR) + F.col("null_block")).otherwise(F.floor(F.col("region_order") / ORDER_BLOCK))
-    rows = rows.withColumn("block", block.cast("long"))
+    rows = rows.withColumn("block", block.cast("long")).withColumn("context", F.lit(False))
+    # Units are pages with regions, and the blocks of dense pages; the last of them before each start come along.
+    units = rows.where("overlap_pages > 0").groupBy("chapter_id", "page_id", "overlap_pages", "page_no", "seg", "block").agg(F.count("*").alias("regions"))
+    units = units.withColumn("unit", F.row_number().over(W.partitionBy("chapter_id").orderBy("page_no", "page_id", "block")))
+    starts = units.groupBy("chapter_id", "seg", "block").agg(F.min("unit").alias("from_unit"))
+    before = units.select(F.col("chapter_id").alias("u_chapter"), F.col("page_id").alias("u_page"), F.col("block").alias("u_block"), "unit", F.explode(F.sequence(F.lit(1), "overlap_pages")).alias("j"))
+    starts = starts.select(F.col("chapter_id").alias("s_chapter"), F.col("seg").alias("s_seg"), F.col("block").alias("s_block"), "from_unit")
+    before = before.join(starts, (F.col("u_chapter") == F.col("s_chapter")) & (F.col("unit") + F.col("j") == F.col("from_unit"))).select("u_chapter", "u_page", "u_block", "s_seg", "s_block")
+    repeated = rows.join(before, (F.col("chapter_id") == F.col("u_chapter")) & F.col("page_id").eqNullSafe(F.col("u_page")) & (F.col("block") == F.col("u_block")))
+    repeated = repeated.withColumns({"seg": F.col("s_seg"), "block": F.col("s_block"), "context": F.lit(True)}).select(*rows.columns)
+    rows = rows.unionByName(repeated)
     cut_rows = rows.groupBy("chapter_id", "seg", "block").applyInPandas(_cut_segment, FRAGMENTS)
 
     whole = valid.join(over.select("chapter_id"), "chapter_id", "left_anti")

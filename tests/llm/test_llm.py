@@ -84,6 +84,19 @@ def test_pieces_repeat_pages_up_to_the_limit(spark):
     assert new_text(f) == {f"r{p}-{k}": t for p, ts in enumerate(pages) for k, t in enumerate(ts)}
 
 
+def test_pieces_repeat_at_every_start(spark, monkeypatch):
+    """Starts after dense pages, blocks, pages without regions and of unlisted pages repeat what stands before."""
+    monkeypatch.setattr(chunking, "DENSE_REGIONS", 20)
+    monkeypatch.setattr(chunking, "ORDER_BLOCK", 16)
+    r, m = chapter(spark, [["まえ。"], ["あいう。"] * 40, ["y。"], [], ["z。"]], 50, 1)
+    monkeypatch.setattr(chunking, "SEGMENT_PAGES", 1)
+    r = r.unionByName(r.where("page_id = 'p4'").withColumns({"page_id": F.lit("unlisted"), "region_id": F.lit("u"), "row_id": F.col("row_id") + 1000}))
+    f = chunking.split_oversized(r, m)
+    per = f.groupBy("seg", "block", "local_piece").agg(F.max("repeated").alias("old"), F.min("repeated").alias("only_old")).orderBy("seg", "block", "local_piece").collect()
+    assert [x.old for x in per] == [False] + [True] * (len(per) - 1) and not any(x.only_old for x in per)
+    assert f.where("not repeated").count() >= 44
+
+
 def test_pieces_of_nothing_and_of_dense_pages(spark, monkeypatch):
     r, m = chapter(spark, [["a"]], 0, 0)
     assert chunking.items_over_limit(chunking.split_oversized(r, m)).count() == 0
