@@ -1,34 +1,36 @@
 """Scores for abusive, hateful and sexual language in whole documents.
 
 A text is cut into sentences; a sentence is the bag of its hashed character n-grams (one to
-four letters, between word ends).  Each n-gram has a vector; the average of a sentence's
+five letters, between word ends).  Each n-gram has a vector; the average of a sentence's
 vectors goes through a linear softmax over (none, abusive, hateful, sexual).  Vectors and
 softmax are trained jointly in numpy on a bounded sample of labelled texts, so unseen
 spellings are judged by the n-grams they share with known ones.  Before that the text is brought
 to its canonical form and common disguises are undone by rule: letters drawn alike, invisible
 characters, digits for letters inside words, separators between single letters.
 
+How common each n-gram is, is counted over all sentences of all documents.  An n-gram weighs
+the more in the average the rarer it is, and rare n-grams share one trained back-off
+(the part of any n-gram that no label shows), so wording that no label shows is judged too.
+Counts are kept per group of sources and the group that uses an n-gram most doesn't count, so
+what a single source says over and over stays rare.
+
 A labelled text may hold one telling sentence among harmless ones.  Training therefore goes
-in rounds: the label goes to the text's sentences that the model of the round before holds
-most telling, the rest count as none.  Labels may be wrong: texts whose label the model,
-trained without them (by folds), contradicts with certainty are left out of the last round.
+in rounds: the label goes to the text's sentence of the rarest wording, then to the one that the
+model of the round before holds most telling; the rest count as none.  Labels may be wrong: texts
+whose label the models trained without them (by folds) contradict don't train.
 
-What wording is common is counted over the sentences of all documents, whole texts, in two
-partial aggregations.  Only wording whose sentences a first model holds harmless is common, so
-abuse doesn't hide itself by being frequent.  Corpus sentences that a model fitted on the
-labelled texts alone doubts don't train as harmless ones.
+The threshold lies where the counts of the corpus' sentences, sorted by their score, stop falling
+steeply above the bulk of harmless ones.  Which category a found sentence has is settled over all
+finds: n-grams take the categories of the surely judged finds that hold them, in a few passes of counts.
 
 A document's score for a category is the greatest of its sentences; a document uses the
-category when the score reaches the threshold chosen on the folds.
+category when the score reaches the threshold.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import re
-from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: So many letters are scored at once.
 RUN_CHARS = 200_000
-GRAMS = (1, 2, 3, 4)
+GRAMS = (1, 2, 3, 4, 5)
 SIZE = 12
 #: So many n-grams without meaning are averaged in, so a few words alone don't weigh too much.
 SHRINK = 15
@@ -52,35 +54,36 @@ STEPS = 120
 DECAY = 0.02
 #: At most so many labelled texts are read for training, the first by label_id.
 MAX_LABELLED = 20_000
-#: So many sentences of the corpus, from the documents least by a hash, train as presumably harmless ones.
-MAX_PRESUMED = 3000
-#: Wording is common when so many harmless sentences of the corpus share it, and one in SPREAD of them.
-COMMON = 5
-SPREAD = 4000
-#: Least part of harmless sentences among those that share common wording; words with a greater part of telling ones are telling themselves.
-HARMLESS = 0.9
-TELLING = 0.5
-#: Corpus sentences to which a model of the labelled texts alone gives this probability of any category don't train as harmless.
-DOUBT = 0.25
-#: A task passes its counts on when it holds those of so many words.
-MAX_HELD = 200_000
-#: Sentences whose share of common wording is in this lowest part of their script are not taken for harmless.
-UNUSUAL = 0.1
-#: At most so many sentences that a first model finds in the corpus train a second one.
-MAX_FOUND = 3000
-#: Greatest probability of none at which the first model's find is believed.
-SURE = 0.25
-#: Above this probability common wording isn't damped; below, by this factor.
-SURE_ALL = 0.95
-LONG = 8
-DAMPING = 0.1
-#: Least threshold.
-LEAST = 0.13
-PRESUMED_DOCUMENTS = 1500
-#: At most so many of their sentences are looked through for those that train.
-MAX_SAMPLED = 20_000
+#: An n-gram that occurs in this part of the sentences is half rare; and has 0.7 of the weight of a rare one.
+RARE = 7e-5
+COMMON = 3e-4
+#: Groups of sources whose counts are kept apart.
+SOURCE_GROUPS = 8
+#: Counts travel in pieces of so many buckets.
+PIECE = 512
+#: A label is taken for wrong where the models trained without the text score it as this part of harmless sentences and its wording is
+#: as common as this part of theirs; that of a harmless text where they give more than SURE.
+QUANTILE = 0.8
+USUAL = 0.9
+SURE = 0.5
+#: Sentences are counted in bins of this width of log-odds.
+BIN = 0.25
+#: Above the bin from which this part of all sentences lies, the bulk of harmless ones ends where a bin's count is more than FALL of the bin's below.
+TAIL = 0.02
+FALL = 0.35
+#: The tail's first bin needs so many sentences to say anything.
+LEAST_BULK = 30
+#: Bin from which on sentences are kept as finds; their threshold is no lower.
+FLOOR = -10
+#: Passes over the finds, share from which a find is surely judged, weight of the finds' n-grams, and their smoothing.
+PASSES = 4
+JUDGED = 0.7
+LEAN = 9.0
+SMOOTH = 0.3
 FOLDS = 3
 SEED = 7
+#: The last round is fitted so many times from other starts and averaged.
+STARTS = 2
 
 _SENTENCE = re.compile(r"[^。.!?\n]+[。.!?\n]*")
 _WIDE = r"⺀-鿿豈-﫿"
@@ -107,14 +110,17 @@ def sentences(column: pa.Array) -> tuple[list[str], np.ndarray]:
         if not t:
             continue
         for m in _SENTENCE.finditer(_protect(t)):
-            s = _SPEAKER.sub("", m[0].strip(" .\x00"))
-            if s:
-                parts.append(_WIDE_GAP.sub("", s.replace("\x00", ".")))
-                rows.append(i)
+            whole = m[0].strip(" .\x00")
+            said = _SPEAKER.match(whole)
+            # What stands before a colon is mostly a name; it is a sentence of its own.
+            for s in (whole,) if said is None else (said[1], whole[said.end() :]):
+                if s:
+                    parts.append(_WIDE_GAP.sub("", s.replace("\x00", ".")))
+                    rows.append(i)
     return parts, np.array(rows, np.int64)
 
 
-_SPEAKER = re.compile(r"^[^:]{1,16}: ?(?=.)")
+_SPEAKER = re.compile(r"^([^:]{1,16}): ?(?=.)")
 _DOT_INSIDE = re.compile(rf"(?<=[{_WIDE}])\.(?=[{_WIDE}])|(?<=\w)\.(?=\w)")
 
 
@@ -152,10 +158,109 @@ def grams(parts: list[str], sizes: tuple[int, ...] = GRAMS) -> tuple[np.ndarray,
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _runs(parts: list[str]):
+    """(begin, end) of runs of about RUN_CHARS letters."""
+    begin, size = 0, 0
+    for i, s in enumerate(parts):
+        size += len(s) + 2
+        if size >= RUN_CHARS or i == len(parts) - 1:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+
+
+@dataclass
+class Rarity:
+    """How rare each n-gram bucket is in the corpus: its part in the back-off and its weight in the average."""
+
+    back_off: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, frequency: np.ndarray) -> Rarity:
+        """From occurrences per sentence."""
+        return cls((1 / (1 + frequency / RARE)).astype(np.float32), (1 / (1 + frequency / COMMON)).astype(np.float32) ** 0.5)
+
+
+def count_grams(parts: list[str]) -> np.ndarray:
+    """Occurrences of each n-gram bucket."""
+    out = np.zeros(BUCKETS, np.int64)
+    for begin, end in _runs(parts):
+        for n, bucket, first, count in _hashed(parts[begin:end]):
+            has = count > 0
+            # Places that run over a sentence's end are none: the last n - 1 of each.
+            ends = np.zeros(len(bucket) + 1, np.int64)
+            np.add.at(ends, first[has], 1)
+            np.add.at(ends, (first + count)[has], -1)
+            out += np.bincount(bucket[np.cumsum(ends[:-1]) > 0], minlength=BUCKETS)
+    return out
+
+
+def trimmed_frequency(counts: np.ndarray, sentences_of: np.ndarray) -> np.ndarray:
+    """Occurrences per sentence without the group that uses each n-gram most; ``counts`` is (groups, buckets).
+
+    With fewer than three groups in use nothing is left out.
+    """
+    used = sentences_of > 0
+    counts, sentences_of = counts[used], sentences_of[used].astype(float)
+    if not len(counts):
+        return np.zeros(BUCKETS)
+    if len(counts) < 3:
+        return counts.sum(0) / sentences_of.sum()
+    top = (counts / sentences_of[:, None]).argmax(0)
+    return (counts.sum(0) - counts[top, np.arange(counts.shape[1])]) / (sentences_of.sum() - sentences_of[top])
+
+
+def _summed(pieces: DataFrame, length: int) -> np.ndarray:
+    """Sum of arrays that tasks emit in pieces (piece long, data binary of int64); the sum reaches the driver."""
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a = np.frombuffer(data, np.int64)
+                held[piece] = held[piece] + a if piece in held else a
+        yield _pieces(held)
+
+    out = np.zeros(length, np.int64)
+    for r in pieces.repartition("piece").mapInArrow(add, "piece long, data binary").collect():
+        a = np.frombuffer(r.data, np.int64)
+        out[r.piece * PIECE : r.piece * PIECE + len(a)] += a
+    return out
+
+
+def _pieces(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([a.tobytes() for a in held.values()], pa.binary())], ["piece", "data"])
+
+
+def _cut_array(a: np.ndarray) -> pa.RecordBatch:
+    """The pieces of an array that aren't all zero."""
+    parts = {i: a[i * PIECE : (i + 1) * PIECE] for i in range(-(-len(a) // PIECE))}
+    return _pieces({i: p for i, p in parts.items() if p.any()})
+
+
+def corpus_rarity(documents: DataFrame) -> Rarity:
+    """Counts over all sentences of all documents (source, text), summed in the tasks before they travel."""
+
+    def count(batches):
+        total = np.zeros(SOURCE_GROUPS * (BUCKETS + PIECE), np.int64).reshape(SOURCE_GROUPS, -1)
+        for batch in (part for whole in batches for part in slices(whole)):
+            parts, rows = sentences(batch.column(1))
+            group = batch.column(0).to_numpy(zero_copy_only=False)[rows] if parts else np.zeros(0, int)
+            for g in np.unique(group):
+                own = [parts[i] for i in np.flatnonzero(group == g)]
+                total[g, :BUCKETS] += count_grams(own)
+                total[g, BUCKETS] += len(own)
+        yield _cut_array(total.ravel())
+
+    keyed = documents.where("text is not null").select(F.pmod(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(SOURCE_GROUPS)).cast("int").alias("g"), "text")
+    total = _summed(keyed.mapInArrow(count, "piece long, data binary"), SOURCE_GROUPS * (BUCKETS + PIECE)).reshape(SOURCE_GROUPS, -1)
+    return Rarity.of(trimmed_frequency(total[:, :BUCKETS], total[:, BUCKETS]))
+
+
 class _Bags:
     """N-grams of sentences as index arrays, sorted both ways for segment sums."""
 
-    def __init__(self, parts: list[str]):
+    def __init__(self, parts: list[str], rarity: Rarity):
         bucket, owner = grams(parts)
         order = np.argsort(owner, kind="stable")
         self.owner = owner[order]
@@ -164,442 +269,324 @@ class _Bags:
         self.first = np.searchsorted(self.owner, np.arange(len(parts)))
         self.back = np.argsort(self.column, kind="stable")
         self.first_back = np.searchsorted(self.column[self.back], np.arange(len(self.used)))
+        self.weight = rarity.weight[self.used][:, None]
+        self.rare = np.bincount(owner, weights=rarity.back_off[bucket], minlength=len(parts)).astype(np.float32)[:, None] / self.count
 
     def mean(self, vectors: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(vectors[self.column], self.first, axis=0) / self.count
+        return np.add.reduceat((vectors * self.weight)[self.column], self.first, axis=0) / self.count
 
     def spread(self, g: np.ndarray) -> np.ndarray:
-        return np.add.reduceat((g / self.count)[self.owner[self.back]], self.first_back, axis=0)
+        return self.weight * np.add.reduceat((g / self.count)[self.owner[self.back]], self.first_back, axis=0)
 
 
-def _fit(parts: list[str], target: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = 0.08) -> np.ndarray:
-    """Score table of vectors and softmax fitted to sentence targets by Adam; its last row is the bias."""
-    rng = np.random.default_rng(SEED)
-    bags = _Bags(parts)
+def _fit(parts: list[str], target: np.ndarray, weight: np.ndarray, rarity: Rarity, seed: int = SEED, rate: float = 0.08) -> np.ndarray:
+    """Score table of vectors, back-off and softmax fitted to sentence targets by Adam; its last row is the bias."""
+    rng = np.random.default_rng(seed)
+    bags = _Bags(parts, rarity)
     vectors = rng.normal(0, 0.05, (len(bags.used), SIZE)).astype(np.float32)
     linear = rng.normal(0, 0.5, (SIZE, 4)).astype(np.float32)
     bias = np.zeros((1, 4), np.float32)
-    params = (vectors, linear, bias)
+    rare = np.zeros((1, 1), np.float32)
+    params = (vectors, linear, bias, rare)
     state = [(np.zeros_like(a), np.zeros_like(a)) for a in params]
     w = (weight / weight.sum())[:, None].astype(np.float32)
-    for t in range(1, steps + 1):
+    for t in range(1, STEPS + 1):
         mean = bags.mean(vectors)
         z = mean @ linear + bias
+        z[:, :1] += bags.rare * rare
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - target) * w
-        grads = (bags.spread(g @ linear.T) + DECAY * vectors / len(parts), mean.T @ g + 1e-4 * linear, g.sum(0, keepdims=True))
+        grads = (bags.spread(g @ linear.T) + DECAY * vectors / len(parts), mean.T @ g + 1e-4 * linear, g.sum(0, keepdims=True), (bags.rare * g[:, :1]).sum(0, keepdims=True))
         for a, d, (m, v) in zip(params, grads, state):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     table = np.zeros((BUCKETS + 1, 4), np.float32)
-    table[bags.used] = vectors @ linear
+    table[bags.used] = (vectors * bags.weight) @ linear
+    table[:BUCKETS, 0] += rarity.back_off * rare[0, 0]
     table[BUCKETS] = bias
     return table
 
 
-def _sentence_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Softmax (none and the categories) of each sentence, in runs of bounded size."""
-    out = np.zeros((len(parts), 4))
+def _sums(table: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of each sentence's rows of ``table`` and its number of n-grams, in runs of bounded size."""
+    z = np.zeros((len(parts), table.shape[1]))
+    total = np.zeros((len(parts), 1))
     for begin, end in _runs(parts):
-        out[begin:end] = _run_scores(table, parts[begin:end])
-    return out
+        for n, bucket, first, count in _hashed(parts[begin:end]):
+            has = np.flatnonzero(count > 0)
+            if n not in GRAMS or not len(has):
+                continue
+            # Sums from each sentence's first place to its last; those between, across sentences, are skipped.
+            rows = np.append(table[bucket], np.zeros((1, table.shape[1]), table.dtype), axis=0)
+            edges = np.stack([first[has], first[has] + count[has]], 1).ravel()
+            z[begin + has] += np.add.reduceat(rows, edges, axis=0)[::2]
+            total[begin + has, 0] += count[has]
+    return z, total
 
 
-def _runs(parts: list[str]):
-    """(begin, end) of runs of about RUN_CHARS letters."""
-    begin, size = 0, 0
-    for i, s in enumerate(parts):
-        size += len(s) + 2
-        if size >= RUN_CHARS or i == len(parts) - 1:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-
-
-def _run_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
-    z = np.zeros((len(parts), 4))
-    total = np.zeros((len(parts), 1))
-    for n, bucket, first, count in _hashed(parts):
-        if n not in GRAMS:
-            continue
-        has = np.flatnonzero(count > 0)
-        if not len(has):
-            continue
-        # Sums from each sentence's first place to its last; those between, across sentences, are skipped.
-        rows = np.append(table[bucket], np.zeros((1, 4), np.float32), axis=0)
-        edges = np.stack([first[has], first[has] + count[has]], 1).ravel()
-        z[has] += np.add.reduceat(rows, edges, axis=0)[::2]
-        total[has, 0] += count[has]
+def _sentence_scores(table: np.ndarray, parts: list[str]) -> np.ndarray:
+    """Softmax (none and the categories) of each sentence."""
+    z, total = _sums(table[:BUCKETS], parts)
     z = z / (total + SHRINK) + table[BUCKETS]
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
 
-@dataclass
-class Wording:
-    """What the corpus' harmless sentences share: grams, words, and how much of each sentence its grams make up.
-
-    ``reference``: share of common grams, script and number of sentences.  ``telling``: words
-    of mostly telling sentences.
-    """
-
-    grams: np.ndarray
-    reference: tuple[np.ndarray, np.ndarray, np.ndarray]
-    words: frozenset[str] = frozenset()
-    telling: frozenset[str] = frozenset()
-
-
 @dataclass
 class Moderator:
-    """The fitted table, the threshold of each category and the corpus' common wording."""
+    """The fitted table, the rarity of n-grams, the threshold and the finds' n-gram categories."""
 
     table: np.ndarray
-    thresholds: tuple[float, ...]
-    wording: Wording | None = None
-
-    @property
-    def words(self) -> frozenset[str]:
-        return self.wording.words if self.wording else frozenset()
-
-    def _known(self, words: list[str]) -> bool:
-        """All words are common; the first and last may be pieces of common ones (texts break off), and of
-        at least LONG words of an alphabet one may be anything, such as a name."""
-        new = [i for i, w in enumerate(words) if w not in self.words]
-        new = [i for i in new if not (i == 0 and words[0] in self.ends or i == len(words) - 1 and words[-1] in self.starts)]
-        return not new or len(new) == 1 and len(words) >= LONG and all(w.isascii() for w in words)
-
-    @functools.cached_property
-    def ends(self) -> frozenset[str]:
-        return frozenset(w[i:] for w in self.words if w.isascii() for i in range(1, len(w)))
-
-    @functools.cached_property
-    def starts(self) -> frozenset[str]:
-        return frozenset(w[:i] for w in self.words if w.isascii() for i in range(1, len(w)))
-
-    def usual(self, parts: list[str]) -> np.ndarray:
-        """Sentences of common wording: by the rank of their grams, or all of whose words are common; none with a telling word."""
-        words = [_words(s) for s in parts]
-        known = np.array([self._known(w) for w in words], bool)
-        clear = np.array([self.wording.telling.isdisjoint(w) for w in words], bool)
-        return clear & (known | (_familiar(parts, self.wording) >= UNUSUAL))
+    rarity: Rarity
+    threshold: float = 2.0
+    lean: np.ndarray | None = None
+    thresholds: tuple[float, ...] = field(init=False)
+
+    def __post_init__(self):
+        self.thresholds = (self.threshold,) * 3
+
+    def shares(self, parts: list[str], p: np.ndarray) -> np.ndarray:
+        """(sentences, 3): how the categories share what isn't none."""
+        z = np.log(np.maximum(p[:, 1:], 1e-9))
+        if self.lean is not None and len(parts):
+            rare = self.rarity.back_off
+            sums, _ = _sums(np.column_stack([self.lean * rare[:, None], rare]).astype(np.float32), parts)
+            z = z + LEAN * sums[:, :3] / (sums[:, 3:] + 3)
+        q = np.exp(z - z.max(1, keepdims=True))
+        return q / q.sum(1, keepdims=True)
 
     def sentence_scores(self, parts: list[str]) -> np.ndarray:
-        """(sentences, 3): the probability of any category, given to the one or two that hold most of it.
-
-        Unless the model is sure, wording that is common in the corpus' harmless sentences is
-        damped: what a thousand of them say is no evidence.
-        """
-        p = _sentence_scores(self.table, parts)
-        some = 1 - p[:, :1]
-        if self.wording is not None:
-            doubt = np.flatnonzero((some[:, 0] > 0.05) & (some[:, 0] < SURE_ALL))
-            if len(doubt):
-                some[doubt[self.usual([parts[i] for i in doubt])]] *= DAMPING
-        share = p[:, 1:] / np.maximum(p[:, 1:].sum(1, keepdims=True), 1e-9)
-        top = share.max(1, keepdims=True)
-        return np.where((share >= 0.4) | (share == top), some, share * some)
-
-    def telling(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Index and category (1 to 3) of the sentences that are surely telling and of unusual wording."""
+        """(sentences, 3): the probability of any category, given to the one or two that hold most of it."""
         p = _sentence_scores(self.table, parts)
-        hit = np.flatnonzero(p[:, 0] < SURE)
-        if self.wording is not None and len(hit):
-            hit = hit[~self.usual([parts[i] for i in hit])]
-        return hit, p[hit, 1:].argmax(1) + 1
+        return _given(1 - p[:, :1], self.shares(parts, p))
 
     def score(self, column: pa.Array) -> np.ndarray:
         """(rows, 3) scores; 0 for null and blank texts."""
         out = np.zeros((len(column), 3))
         parts, rows = sentences(column)
         if parts:
-            unique, back = np.unique(np.array(parts, object), return_inverse=True)
-            p = self.sentence_scores(unique.tolist())[back]
+            p = self.sentence_scores(parts)
             for c in range(3):
                 np.maximum.at(out[:, c], rows, p[:, c])
         return out
 
 
-_WORDS = re.compile(rf"[^\W\d_{_WIDE}]+|(?=([{_WIDE}][{_WIDE}]))")
-
-
-def _words(sentence: str) -> list[str]:
-    """Words, and overlapping pairs of letters of scripts without word spaces."""
-    return [m[1] or m[0] for m in _WORDS.finditer(sentence) if m[1] or m[0]]
-
-
-class _Tally:
-    """In how many harmless (0) and telling (1) sentences each word and each hashed gram of three or four letters occurs."""
-
-    def __init__(self):
-        self.total = np.zeros(2, np.int64)
-        self.grams = np.zeros((2, BUCKETS), np.int64)
-        self.words: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-
-    def add(self, parts: list[str], counts: np.ndarray, table: np.ndarray) -> None:
-        for begin, end in _runs(parts):
-            run, often = parts[begin:end], counts[begin:end]
-            told = _held_telling(table, run).astype(np.int64)
-            bucket, owner = grams(run, (3, 4))
-            pair = np.unique(owner * BUCKETS + bucket)
-            owner = pair // BUCKETS
-            self.total += np.bincount(told, weights=often, minlength=2).astype(np.int64)
-            place = told[owner] * BUCKETS + pair % BUCKETS
-            self.grams += np.bincount(place, weights=often[owner], minlength=2 * BUCKETS).astype(np.int64).reshape(2, BUCKETS)
-            for s, n, k in zip(run, often.tolist(), told.tolist()):
-                for w in set(_words(s)):
-                    self.words[k][w] += n
+def _given(some: np.ndarray, share: np.ndarray) -> np.ndarray:
+    top = share.max(1, keepdims=True) if len(share) else share[:, :1]
+    return np.where((share >= 0.4) | (share == top), some, share * some)
 
 
-def _held_telling(table: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Sentences to which the model gives the least threshold or more."""
-    return 1 - _sentence_scores(table, parts)[:, 0] >= LEAST
-
-
-def _least(total) -> int:
-    """In how many harmless sentences common wording occurs at least."""
-    return max(COMMON, -(-int(total) // SPREAD))
-
-
-def _common(harmless, telling, least: int):
-    return (harmless >= least) & (harmless >= HARMLESS * (harmless + telling))
-
-
-def _share(parts: list[str], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each sentence's grams that are common, in thousandths, and whether its script is a wide one."""
-    wide = np.array([sum(c >= "\u2e80" for c in s) * 2 > len(s) for s in parts], bool)
-    out = np.zeros(len(parts))
-    for begin, end in _runs(parts):
-        bucket, owner = grams(parts[begin:end], (3, 4))
-        n = np.maximum(np.bincount(owner, minlength=end - begin), 1)
-        out[begin:end] = np.bincount(owner, weights=common[bucket], minlength=end - begin) / n
-    return np.round(out, 3), wide
-
-
-def _familiar(parts: list[str], wording: Wording) -> np.ndarray:
-    """Share of each sentence's grams that are common in the corpus, in ranks of its script's harmless corpus sentences."""
-    share, wide = _share(parts, wording.grams)
-    out = np.zeros(len(parts))
-    base, base_wide, number = wording.reference
-    for w in (False, True):
-        own = base_wide == w
-        order = np.argsort(base[own])
-        below = np.append(0, np.cumsum(number[own][order]))
-        out[wide == w] = below[np.searchsorted(base[own][order], share[wide == w], "right")] / max(below[-1], 1)
-    return out
-
-
-def local_wording(presumed: dict[str, int], table: np.ndarray | None = None) -> Wording:
-    """Wording of the given sentences, held harmless or telling by ``table`` or all harmless."""
-    if table is None:
-        table = np.zeros((BUCKETS + 1, 4), np.float32)
-        table[BUCKETS, 0] = 9
-    parts = list(presumed)
-    tally = _Tally()
-    tally.add(parts, np.array([presumed[s] for s in parts], np.int64), table)
-    least = _least(tally.total.sum())
-    common = _common(*tally.grams, least)
-    harmless = [s for s, t in zip(parts, _held_telling(table, parts)) if not t]
-    share, wide = _share(harmless, common)
-    words, told = tally.words
-    return Wording(
-        common, (share, wide, np.ones(len(share), np.int64)), frozenset(w for w, n in words.items() if _common(n, told[w], least)),
-        frozenset(w for w, n in told.items() if n + words[w] >= least and n > TELLING * (n + words[w])),
-    )
-
-
-def corpus_wording(documents: DataFrame, table: np.ndarray) -> Wording:
-    """Wording of all sentences of all documents, each held harmless or telling by ``table``.
-
-    Tasks count grams and words; the driver gets the grams' buckets and the words of at least
-    one sentence in SPREAD.  The ranks are those of distinct harmless sentences.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(table)
-    texts = documents.where("text is not null").select("text")
-    names = ["kind", "word", "harmless", "telling"]
-
-    def words_of(tally):
-        keys = sorted(tally.words[0].keys() | tally.words[1].keys())
-        counts = [pa.array([tally.words[k][w] for w in keys], pa.int64()) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array([-1] * len(keys), pa.int64()), pa.array(keys, pa.string()), *counts], names)
-
-    def count(batches):
-        tally = _Tally()
-        for batch in (part for whole in batches for part in slices(whole)):
-            counts = Counter(sentences(batch.column(0))[0])
-            tally.add(list(counts), np.array(list(counts.values()), np.int64), shared.value)
-            if len(tally.words[0]) + len(tally.words[1]) > MAX_HELD:
-                yield words_of(tally)
-                tally.words = (Counter(), Counter())
-        yield words_of(tally)
-        used = np.flatnonzero(tally.grams.any(0))
-        columns = [np.append(-2, used), *[np.append(tally.total[k], tally.grams[k][used]) for k in (0, 1)]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.nulls(len(used) + 1, pa.string()), pa.array(columns[1]), pa.array(columns[2])], names)
-
-    per = texts.mapInArrow(count, "kind long, word string, harmless long, telling long").groupBy("kind", "word").agg(F.sum("harmless").alias("harmless"), F.sum("telling").alias("telling"))
-    per = cut(per)
-    tally = _Tally()
-    total = 0
-    for r in per.where("kind <> -1").collect():
-        if r.kind == -2:
-            total = r.harmless + r.telling
-        else:
-            tally.grams[:, r.kind] = r.harmless, r.telling
-    least = _least(total)
-    words = per.where((F.col("kind") == -1) & (F.col("harmless") + F.col("telling") >= least)).collect()
-    common = _common(*tally.grams, least)
-    ranked = documents.sparkSession.sparkContext.broadcast(common)
-
-    def rank(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            parts = sorted(set(sentences(batch.column(0))[0]))
-            parts = [s for s, t in zip(parts, _held_telling(shared.value, parts)) if not t]
-            share, wide = _share(parts, ranked.value)
-            names = [int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for s in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(share), pa.array(wide)], ["sentence", "share", "wide"])
-
-    each = texts.mapInArrow(rank, "sentence long, share double, wide boolean").distinct()
-    ranks = each.groupBy("share", "wide").agg(F.count("*").alias("n")).collect()
-    reference = (np.array([r.share for r in ranks], float), np.array([r.wide for r in ranks], bool), np.array([r.n for r in ranks], np.int64))
-    return Wording(
-        common, reference, frozenset(r.word for r in words if _common(r.harmless, r.telling, least)),
-        frozenset(r.word for r in words if r.telling > TELLING * (r.harmless + r.telling)),
-    )
-
-
-def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, presumed: dict[str, int], found: dict[str, int], wording: Wording, rounds: int = 2) -> np.ndarray:
-    """Fit sentence targets from text labels, reassigning them between rounds.
-
-    Of a labelled text the sentence least like the corpus gets the label first.  A corpus
-    sentence counts as harmless by how common its wording is, so rare wording trains nothing.
-    """
+def _rounds(parts: list[str], rows: np.ndarray, labels: np.ndarray, rarity: Rarity, rounds: int, starts: int = 1) -> np.ndarray:
+    """Fit sentence targets from text labels, reassigning them between rounds; categories weigh nearly alike."""
+    bucket, owner = grams(parts)
+    number = np.bincount(owner, minlength=len(parts))
+    order = -np.bincount(owner, weights=rarity.back_off[bucket], minlength=len(parts)) / (number + 5)
     table = None
-    known = list(found)
-    more = list(presumed)[:MAX_PRESUMED]
-    own = _familiar(parts, wording)
-    usual = _familiar(more, wording)
-    often = np.array([presumed[s] for s in more], np.float32)
-    extra = len(parts) + len(more)
-    for _ in range(rounds):
-        target = np.zeros((extra + len(known), 4), np.float32)
-        weight = np.ones(len(target), np.float32)
-        target[len(parts) : extra, 0] = 1
-        weight[len(parts) : extra] = np.minimum(often, 10) * (usual >= UNUSUAL)
-        target[np.arange(extra, len(target)), [found[s] for s in known]] = 1
+    for k in range(rounds):
+        if table is not None:
+            order = _sentence_scores(table, parts)[:, 0]
+        target = np.zeros((len(parts), 4), np.float32)
+        target[:, 0] = 1
         for i in np.unique(rows):
-            at = np.flatnonzero(rows == i)
             y = np.flatnonzero(labels[i])
-            target[at, 0] = 1
             if len(y):
-                strange = own[at] if table is None else _sentence_scores(table, [parts[j] for j in at])[:, 0] + 0.5 * own[at]
-                telling = at[int(np.argmin(strange))]
+                at = np.flatnonzero(rows == i)
+                telling = at[int(np.argmin(order[at]))]
                 target[telling] = 0
                 target[telling, y + 1] = 1 / len(y)
         positive = target[:, 0] < 0.5
-        at = np.arange(len(target))
-        for group, share in ((positive & (at < extra), 0.35), (~positive & (at < len(parts)), 0.25), (~positive & (at >= len(parts)), 0.4), (at >= extra, 0.25)):
-            total = weight[group].sum()
-            if total:
-                weight[group] *= share / total
-        table = _fit(parts + more + known, target, weight)
+        weight = np.ones(len(parts), np.float32)
+        for c in (1, 2, 3):
+            own = target[:, c] > 0
+            if own.any():
+                weight[own] *= (positive.sum() / own.sum()) ** 0.5
+        for group in (positive, ~positive):
+            if group.any():
+                weight[group] *= 0.5 / weight[group].sum()
+        table = np.mean([_fit(parts, target, weight, rarity, SEED + i) for i in range(starts if k == rounds - 1 else 1)], 0)
     return table
 
 
-def fit_moderator(texts: list[str | None], labels: np.ndarray, presumed: dict[str, int] | None = None, search=None, survey=None) -> Moderator:
-    """Train on labelled texts; ``labels`` is (n, 3) of 0 and 1; ``presumed``: corpus
-    sentences with their counts, harmless with few exceptions; those the labelled texts cast doubt on
-    don't train.  ``search``: given a model, returns telling sentences of the corpus with their
-    category (1 to 3), which train another round.  ``survey``: given a table, returns the wording of
-    the corpus; without it that of ``presumed`` is taken.
+def fit_moderator(texts: list[str | None], labels: np.ndarray, rarity: Rarity | None = None) -> Moderator:
+    """Train on labelled texts; ``labels`` is (n, 3) of 0 and 1.  Without ``rarity`` it is counted over the texts themselves.
+
+    The model's threshold is the greatest held-out score of a harmless sentence; ``settled`` replaces it by the corpus'.
     """
-    column = pa.array(texts, pa.string())
-    parts, rows = sentences(column)
-    labels = np.asarray(labels) > 0
-    presumed = presumed or {}
+    parts, rows = sentences(pa.array(texts, pa.string()))
+    labels = np.asarray(labels).reshape(-1, 3) > 0
+    if rarity is None:
+        rarity = Rarity.of(count_grams(parts) / max(len(parts), 1))
     if not parts or not labels.any():
-        return Moderator(np.zeros((BUCKETS + 1, 4), np.float32), (2.0,) * 3)
+        return Moderator(np.zeros((BUCKETS + 1, 4), np.float32), rarity)
     # Texts that say the same stay in one fold.
     _, same = np.unique([re.sub(r"\W+|\d+", "", t or "") for t in texts], return_inverse=True)
     fold = np.random.default_rng(SEED).integers(0, FOLDS, same.max() + 1)[same]
-    held = np.zeros((len(texts), 3))
-    # The labels speak first: of the presumed sentences only those train that they don't cast doubt on.
-    clean = Counter(parts[j] for j in np.flatnonzero(~labels[rows].any(1)))
-    first = _rounds(parts, rows, labels, clean, {}, local_wording(clean))
-    doubt = 1 - _sentence_scores(first, list(presumed))[:, 0] >= DOUBT
-    given = presumed
-    presumed = {s: n for (s, n), d in zip(given.items(), doubt) if not d}
-    first = _rounds(parts, rows, labels, presumed, {}, local_wording(presumed))
-    wording = survey(first) if survey is not None else local_wording(given, first)
+    held = np.zeros(len(parts))
     for k in range(FOLDS):
-        train = np.flatnonzero(fold[rows] != k)
-        table = _rounds([parts[j] for j in train], rows[train], labels, presumed, {}, wording)
-        held[fold == k] = Moderator(table, (), wording).score(column)[fold == k]
-    # A label is taken for wrong where the folds deny it and the wording is common in the corpus, or where they are certain of another.
-    rare = np.ones(len(texts))
-    np.minimum.at(rare, rows, _familiar(parts, wording))
-    wrong = np.any((held > 0.9) & ~labels, 1) | (labels.any(1) & (held.max(1) < 0.1) & (rare >= UNUSUAL))
+        train, test = np.flatnonzero(fold[rows] != k), np.flatnonzero(fold[rows] == k)
+        if len(test) and len(train) and labels[rows[train]].any():
+            table = _rounds([parts[j] for j in train], rows[train], labels, rarity, 1)
+            held[test] = 1 - _sentence_scores(table, [parts[j] for j in test])[:, 0]
+    most = np.zeros(len(texts))
+    np.maximum.at(most, rows, held)
+    labelled = labels.any(1)
+    harmless = ~labelled[rows]
+    bucket, owner = grams(parts)
+    strange = np.bincount(owner, weights=rarity.back_off[bucket], minlength=len(parts)) / np.bincount(owner, minlength=len(parts))
+    rarest = np.zeros(len(texts))
+    np.maximum.at(rarest, rows, strange)
+    doubt = np.zeros(len(texts), bool)
+    if harmless.any():
+        doubt = (most < np.quantile(held[harmless], QUANTILE)) & (rarest < np.quantile(strange[harmless], USUAL))
+    wrong = (~labelled & (most > SURE)) | (labelled & doubt)
     good = np.flatnonzero(~wrong[rows])
-    table = _rounds([parts[j] for j in good], rows[good], labels, presumed, {}, wording)
-    if search is not None:
-        table = _rounds([parts[j] for j in good], rows[good], labels, presumed, search(Moderator(table, (0.5,) * 3, wording)), wording)
-    thresholds = []
-    for c in range(3):
-        y, s = labels[~wrong, c], held[~wrong, c]
-        grid = np.arange(LEAST, 0.5, 0.05)
-        f1 = np.array([2 * np.sum(y & (s >= g)) / max(np.sum(y) + np.sum(s >= g), 1) for g in grid])
-        thresholds.append(float(grid[int(np.argmax(f1))]))
-    return Moderator(table, tuple(thresholds), wording)
-
-
-def presumed_sentences(documents: DataFrame) -> dict[str, int]:
-    """Sentences of a bounded, fixed sample of documents with their counts: training material, nothing is judged by it."""
-    rows = documents.where("text is not null").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(PRESUMED_DOCUMENTS).select(F.substring("text", 1, 4000).alias("text")).collect()
-    counts = Counter(sentences(pa.array([r.text for r in rows], pa.string()))[0])
-    names = sorted(counts, key=lambda s: (-counts[s], hashlib.md5(s.encode("utf-8", "replace")).digest()))
-    return {s: counts[s] for s in names[:MAX_SAMPLED]}
-
-
-def telling_sentences(documents: DataFrame, model: Moderator) -> dict[str, int]:
-    """Corpus sentences that ``model`` holds telling, with their category; of too many the least by a hash."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    if not labels[rows[good]].any():
+        good = np.arange(len(parts))
+    table = _rounds([parts[j] for j in good], rows[good], labels, rarity, 2, STARTS)
+    return Moderator(table, rarity, max(float(held[harmless & ~wrong[rows]].max(initial=0.0)), _odds(FLOOR)) + 1e-3)
 
-    def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
-            parts = sorted(set(sentences(batch.column(0))[0]))
-            hit, category = shared.value.telling(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([parts[i] for i in hit], pa.string()), pa.array(category, pa.int64())], ["sentence", "category"])
 
-    found = documents.where("text is not null").select("text").mapInArrow(run, "sentence string, category long")
-    per = found.groupBy("sentence").agg(F.min("category").alias("category"))
-    rows = per.orderBy(F.xxhash64("sentence"), "sentence").limit(MAX_FOUND).collect()
-    return {r.sentence: r.category for r in sorted(rows, key=lambda r: r.sentence)}
+def _odds(k: float) -> float:
+    """Probability at the lower edge of bin ``k``."""
+    return float(1 / (1 + np.exp(-k * BIN)))
+
+
+def _bins(some: np.ndarray) -> np.ndarray:
+    some = np.clip(some, 1e-9, 1 - 1e-9)
+    return np.clip(np.floor(np.log(some / (1 - some)) / BIN), -100, 100).astype(np.int8)
+
+
+def bulk_end(counts: dict[int, int]) -> int | None:
+    """The bin that begins where the counts of the upper tail stop falling steeply; None for too few sentences."""
+    total, above = sum(counts.values()), 0
+    k = max(counts, default=0)
+    while above + counts.get(k, 0) <= TAIL * total and k >= min(counts, default=0):
+        above += counts.get(k, 0)
+        k -= 1
+    k += 1
+    if counts.get(k, 0) < LEAST_BULK:
+        return None
+    while counts.get(k, 0) and counts.get(k + 1, 0) <= FALL * counts[k]:
+        k += 1
+    return k + 1
 
 
 def train_moderator(labelled: DataFrame, documents: DataFrame, limit: int = MAX_LABELLED) -> Moderator:
     """Fit on at most ``limit`` labelled rows (sample_text, abusive, hateful, sexual), the first by label_id."""
     rows = labelled.where("sample_text is not null").orderBy("label_id").select("sample_text", *[F.coalesce(c, F.lit(0)).alias(c) for c in CATEGORIES]).limit(limit).collect()
     labels = np.array([[r[c] for c in CATEGORIES] for r in rows]).reshape(-1, 3)
-    return fit_moderator([r.sample_text for r in rows], labels, presumed_sentences(documents), lambda model: telling_sentences(documents, model), lambda table: corpus_wording(documents, table))
+    return fit_moderator([r.sample_text for r in rows], labels, corpus_rarity(documents))
 
 
-def score_documents(documents: DataFrame, model: Moderator) -> DataFrame:
-    """Every document row: doc_id, source and the scores ``abusive``, ``hateful``, ``sexual`` with flags ``is_*``.
+_FINDS = "finds array<struct<sentence string, none double, abusive double, hateful double, sexual double>>"
+
 
-    Null and blank texts score 0.  Scores are worked out row by row in Arrow batches; there
-    is no shuffle.
+def found_sentences(documents: DataFrame, model: Moderator) -> DataFrame:
+    """Every document row: doc_id, source, the scores of its sentences below bin FLOOR, the bins of all, and the sentences from FLOOR on (``finds``).
+
+    Null and blank texts have score 0 and no finds.  There is no shuffle.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     types = dict(documents.dtypes)
+    schema = f"doc_id {types['doc_id']}, source {types['source']}, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", bins array<tinyint>, " + _FINDS
 
     def run(batches):
         m = shared.value
         for batch in (part for whole in batches for part in slices(whole)):
-            s = m.score(batch.column(2))
-            flags = [pa.array(s[:, c] >= m.thresholds[c]) for c in range(3)]
+            parts, rows = sentences(batch.column(2))
+            p = _sentence_scores(m.table, parts)
+            bins = _bins(1 - p[:, 0])
+            hit = bins >= FLOOR
+            low = np.zeros((batch.num_rows, 3))
+            scores = _given(1 - p[~hit, :1], p[~hit, 1:] / np.maximum(p[~hit, 1:].sum(1, keepdims=True), 1e-9))
+            for c in range(3):
+                np.maximum.at(low[:, c], rows[~hit], scores[:, c])
+            every = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(batch.num_rows + 1)), pa.int32()), pa.array(bins, pa.int8()))
+            at = np.flatnonzero(hit)
+            offsets = np.searchsorted(rows[at], np.arange(batch.num_rows + 1))
+            finds = pa.StructArray.from_arrays([pa.array([parts[i] for i in at], pa.string()), *[pa.array(p[at, c]) for c in range(4)]], ["sentence", "none", *CATEGORIES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(low[:, c]) for c in range(3)], every, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), finds)], ["doc_id", "source", *CATEGORIES, "bins", "finds"])
+
+    return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
+
+
+def _find_batch(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    finds = column.flatten()
+    return finds.field("sentence").to_pylist(), np.column_stack([finds.field(c).to_numpy(zero_copy_only=False) for c in ("none", *CATEGORIES)]) if len(finds) else np.zeros((0, 4))
+
+
+def settled(found: DataFrame, model: Moderator) -> Moderator:
+    """The model with the threshold that the corpus shows and the categories of the finds' n-grams.
+
+    ``found`` should be cut, it is read PASSES + 1 times; only counts of bins and n-grams reach the driver.
+    """
+    bins = found.select(F.explode("bins").alias("bin")).groupBy("bin").count().collect()
+    end = bulk_end({r["bin"]: r["count"] for r in bins})
+    threshold = model.threshold if end is None else _odds(max(end, FLOOR))
+    out = Moderator(model.table, model.rarity, threshold)
+    telling = found.where(F.size("finds") > 0).select("finds")
+    for _ in range(PASSES):
+        shared = found.sparkSession.sparkContext.broadcast(out)
+
+        def count(batches):
+            m = shared.value
+            total = np.zeros(3 * BUCKETS)
+            for batch in (part for whole in batches for part in slices(whole)):
+                parts, p = _find_batch(batch.column(0))
+                hit = np.flatnonzero(1 - p[:, 0] >= m.threshold) if len(p) else []
+                if not len(hit):
+                    continue
+                own = [parts[i] for i in hit]
+                q = m.shares(own, p[hit])
+                q[q.max(1) < JUDGED] = 0
+                for begin, end in _runs(own):
+                    bucket, owner = grams(own[begin:end])
+                    for c in range(3):
+                        total[c * BUCKETS : (c + 1) * BUCKETS] += np.bincount(bucket, weights=q[begin:end][owner, c], minlength=BUCKETS)
+            yield _cut_array(np.round(total * 1000).astype(np.int64))
+
+        counts = _summed(telling.mapInArrow(count, "piece long, data binary"), 3 * BUCKETS).reshape(3, BUCKETS).T / 1000
+        size = counts.sum(0)
+        each_as_large = counts / np.maximum(size, 1) * size.mean() + SMOOTH
+        lean = np.log(each_as_large / each_as_large.sum(1, keepdims=True) * 3).astype(np.float32)
+        out = Moderator(model.table, model.rarity, threshold, lean)
+    return out
+
+
+def judged_documents(found: DataFrame, model: Moderator) -> DataFrame:
+    """Every document row: doc_id, source and the scores ``abusive``, ``hateful``, ``sexual`` with flags ``is_*``."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+    types = dict(found.dtypes)
+
+    def run(batches):
+        m = shared.value
+        for batch in (part for whole in batches for part in slices(whole)):
+            s = np.column_stack([batch.column(2 + c).to_numpy(zero_copy_only=False) for c in range(3)]).copy()
+            parts, p = _find_batch(batch.column(5))
+            if parts:
+                rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False))
+                scores = _given(1 - p[:, :1], m.shares(parts, p))
+                for c in range(3):
+                    np.maximum.at(s[:, c], rows, scores[:, c])
+            flags = [pa.array(s[:, c] >= m.threshold) for c in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(s[:, c]) for c in range(3)], *flags], ["doc_id", "source", *CATEGORIES, *[f"is_{c}" for c in CATEGORIES]])
 
     schema = f"doc_id {types['doc_id']}, source {types['source']}, " + ", ".join([f"{c} double" for c in CATEGORIES] + [f"is_{c} boolean" for c in CATEGORIES])
-    return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
+    return found.select("doc_id", "source", *CATEGORIES, "finds").mapInArrow(run, schema)
+
+
+def moderated(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """All documents judged by a model trained on ``labelled``; documents are read twice, once for counts."""
+    model = train_moderator(labelled, documents)
+    found = cut(found_sentences(documents, model))
+    return judged_documents(found, settled(found, model))
+
+
+def score_documents(documents: DataFrame, model: Moderator) -> DataFrame:
+    """Every document row judged by a settled model: doc_id, source, scores and flags."""
+    return judged_documents(found_sentences(documents, model), model)
 
 
 def source_rates(scored: DataFrame) -> DataFrame:

@@ -128,8 +128,7 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def _moderated(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "source", "text")
-    model = moderation.train_moderator(table(spark, d, "labelled_texts"), documents)
-    return moderation.score_documents(documents, model)
+    return moderation.moderated(documents, table(spark, d, "labelled_texts"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -369,4 +369,30 @@ def test_moderation_frequent_abuse(spark, data):
     model = moderation.train_moderator(labelled, documents.unionByName(loud))
     scores = model.score(pa.array(abuse, pa.string()))[:, 0]
     assert (scores >= model.thresholds[0]).all(), scores
-    assert not model.usual(moderation.sentences(pa.array(abuse, pa.string()))[0]).any()
+
+
+def test_moderation_held_out_wordings(spark, data):
+    """Wordings that no training text shows are found by their rare n-grams and those they share."""
+    held = ["vermin and should", "crawl back under", "did not stop until he came", "undid his trousers", "ネズミ", "人間以下", "果てるまで", "死ねよ", "赶进海里", "没见过像你", "骑到丈夫"]
+    rows = spark.read.parquet(f"{data}/labelled_texts.parquet").where("sample_text is not null").orderBy("label_id").collect()
+    unseen = np.array([any(h in r.sample_text.lower() for h in held) for r in rows])
+    labels = np.array([[r[c] for c in moderation.CATEGORIES] for r in rows])
+    larger = data.replace("0.001", "0.01")
+    documents = spark.read.parquet(f"{larger}/documents.parquet")
+    rarity = moderation.corpus_rarity(documents)
+    keep = np.flatnonzero(~unseen)
+    model = moderation.fit_moderator([rows[i].sample_text for i in keep], labels[keep], rarity)
+    told = np.flatnonzero(unseen & labels.any(1))
+    scores = model.score(pa.array([rows[i].sample_text for i in told], pa.string())).max(1)
+    corpus = moderation.sentences(pa.array([r.text for r in documents.select("text").collect()], pa.string()))[0]
+    usual = np.quantile(1 - moderation._sentence_scores(model.table, corpus)[:, 0], 0.98)
+    assert len(told) > 20 and (scores >= usual).mean() >= 0.8, (usual, sorted(scores)[:10])
+
+
+def test_moderation_threshold_and_trimming():
+    assert moderation.bulk_end({-12: 90_000, -11: 9_000, -10: 900, -9: 90, -8: 80, -5: 60}) == -8
+    assert moderation.bulk_end({-12: 20}) is None and moderation.bulk_end({}) is None
+    counts = np.ones((4, moderation.BUCKETS), np.int64)
+    counts[2, 5] = 10_000
+    f = moderation.trimmed_frequency(counts, np.array([10, 10, 10_000, 10]))
+    assert f[5] == 3 / 30 and not moderation.trimmed_frequency(counts * 0, np.zeros(4)).any()
