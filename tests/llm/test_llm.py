@@ -207,12 +207,29 @@ def test_pair_held_out_accuracy(spark, data, pair_model):
     assert sum(pair_model.defect(x, y) is not None for x, y in zip(s, a)) <= 0.05 * len(rows)
 
 
+def test_pair_unseen_refusals(spark, data):
+    """Refusals of words that no training refusal has."""
+    rows = [(r.source_text, r.translated_text) for r in pairs.valid_sources(spark.read.parquet(f"{data.replace('0.001', '0.01')}/partial_regions.parquet")).where("source_text is not null and translated_text is not null").collect()]
+    model = pairs.fit_pairs(rows, [], 0)
+    rng = np.random.default_rng(5)
+    told = [pairs.refusal(rng, 1) for _ in range(400)]
+    canon = lambda x: canonical.canonical_array(pa.array(x, pa.string())).to_pylist()
+    k = model.defects(canon([rows[i % len(rows)][0] for i in range(400)]), [t.lower() for t in canon(told)])
+    found = (k == pairs.DEFECTS.index("refusal")).mean()
+    print("unseen refusals found", found, "flagged", (k >= 0).mean())
+    assert found >= 0.3 and (k >= 0).mean() >= 0.6
+    alone = pairs.pair_features(["あい", "か"], ["啊", "n/a"], model.length)
+    for i, pair in enumerate((("あい", "啊"), ("か", "n/a"))):
+        b, _ = pairs.pair_features([pair[0]], [pair[1]], model.length)
+        assert b.tolist() == alone[0][alone[1] == i].tolist()
+
+
 def test_pairs_with_nulls(spark, pair_model):
     valid = spark.createDataFrame([("r", "あ。", "啊。"), ("n", None, None)], "region_key string, source_text string, translated_text string")
     a = spark.createDataFrame([("t", 1, "r", None), ("t", 1, "r", None), ("t", 2, None, "x"), ("t", 3, "n", "x"), ("t", 4, "zz", "x")], "pair_table string, candidate_row long, region_id string, answer string")
     assert [tuple(r) for r in pairs.judged_pairs(a, valid, pair_model).collect()] == [("t", 1, "empty")]
     assert pairs.judged_pairs(a.limit(0), valid, pair_model).count() == 0
-    assert pairs.fit_pairs([], []).thresholds.tolist() == [1.0] * 5
+    assert pairs.fit_pairs([], []).thresholds.tolist() == [1.0] * 6
 
 
 # 6 --------------------------------------------------------------------------------------------
