@@ -8,8 +8,8 @@ at line starts are gone) and seen as sets of shingles, k letters each (by the it
 * Prefix: every window of two fifths of an item has T shingles, of which ``need`` must match
   for a leak with the allowed alterations.  A match of ``need`` shingles has at least
   ``PREFIX_HITS`` in common with the T - need + PREFIX_HITS rarest, so only those of each
-  window are joined first.
-* Bounds: documents too short for any window are left out (length); of the items that pass,
+  window are looked up and joined first; the rest only in the documents of the candidates.
+* Bounds: pairs of documents too short for any window are left out (length); of the pairs that pass,
   all shingles are looked up and a diagonal band (position in the document minus position in
   the item) must hold ``need`` of them (position).
 * Verification: seeds of a band are chained in order over the window; a leak is a stretch of
@@ -36,7 +36,7 @@ from leafgauge.llm.canonical import _code_points, canonical_array, slices
 SHARE = 0.4
 DENSITY = 0.72
 PREFIX_HITS = 3
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 4_000_000
 DRIFT = 14
 GAP = 60
 SHINGLE = {"wide": 5, "narrow": 12}
@@ -88,7 +88,9 @@ class ItemIndex:
         self.ids = ids
         self.size = np.bincount(rows, minlength=len(ids)).astype(np.int64)
         wide = np.bincount(rows, weights=points >= 0x2E80, minlength=len(ids)) * 2 >= self.size
-        self.k = np.where(wide, SHINGLE["wide"], SHINGLE["narrow"])
+        # An item of fewer letters than a shingle is one shingle as a whole: it leaks where it stands whole.
+        self.k = np.minimum(np.where(wide, SHINGLE["wide"], SHINGLE["narrow"]), np.maximum(self.size, 1))
+        self.sizes = np.unique(self.k[self.size > 0]).tolist()
         window = np.ceil(SHARE * self.size).astype(np.int64)
         self.window = window
         terms = np.maximum(window - self.k + 1, 1)
@@ -110,6 +112,7 @@ class ItemIndex:
         self.distinct, self.begin = np.unique(self.token, return_index=True)
         self.end = np.append(self.begin[1:], len(self.token))
         self.prefix = np.ones(len(self.token), bool)
+        self.in_prefix = np.ones(len(self.distinct), bool)
 
     def choose_prefixes(self, frequency: np.ndarray) -> None:
         """Mark the postings in the prefix of some window; ``frequency`` per distinct shingle."""
@@ -126,20 +129,21 @@ class ItemIndex:
             for s in range(0, len(at) - t + 1):
                 w = at[s : s + t]
                 self.prefix[w[np.argpartition(rank[w], length - 1)[:length]] if length < t else w] = True
-
-    def lookup(self, points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``points``, index in ``distinct``) of every item shingle that lies within a row."""
-        where, which = [], []
-        for k in SHINGLE.values():
+        self.in_prefix = np.logical_or.reduceat(self.prefix, self.begin) if len(self.token) else self.in_prefix
+
+    def lookup(self, points: np.ndarray, rows: np.ndarray, prefix: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``points``, index in ``distinct``) of every item shingle, or every one of a prefix, that lies within a row."""
+        known = np.flatnonzero(self.in_prefix) if prefix else np.arange(len(self.distinct))
+        tokens = self.distinct[known]
+        where, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in self.sizes if len(tokens) else ():
             h = shingle_hashes(points, k)
-            if not len(h) or not len(self.distinct):
-                continue
-            at = np.searchsorted(self.distinct, h)
-            at[at == len(self.distinct)] = 0
-            hit = np.flatnonzero((self.distinct[at] == h) & (rows[: len(h)] == rows[k - 1 :]))
+            at = np.searchsorted(tokens, h)
+            at[at == len(tokens)] = 0
+            hit = np.flatnonzero((tokens[at] == h) & (rows[: len(h)] == rows[k - 1 :]))
             where.append(hit)
-            which.append(at[hit])
-        return (np.concatenate(where), np.concatenate(which)) if where else (np.zeros(0, np.int64),) * 2
+            which.append(known[at[hit]])
+        return np.concatenate(where), np.concatenate(which)
 
     def postings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each posting of the shingles ``which``, and the index into ``which``."""
@@ -185,20 +189,28 @@ def _stretch(dpos: np.ndarray, ipos: np.ndarray, k: int, window: int) -> tuple[i
 def _leaks(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, float]]:
     """(row, item index, share of the item's letters in the stretch) of one batch."""
     points, rows = letters(column)
-    where, which = index.lookup(points, rows)
+    where, which = index.lookup(points, rows, prefix=True)
     if not len(where):
         return []
+    # Prefix join: only shingles of prefixes are looked up and only their postings are met.
     post, source = index.postings(which)
-    row = rows[where[source]].astype(np.int64)
-    pair = row * len(index.ids) + index.item[post]
-    pre = index.prefix[post]
-    keys, counts = np.unique(pair[pre], return_counts=True)
+    own = np.flatnonzero(index.prefix[post])
+    post, source = post[own], source[own]
+    keys, counts = np.unique(rows[where[source]].astype(np.int64) * len(index.ids) + index.item[post], return_counts=True)
     item_of = keys % len(index.ids)
     lengths = np.bincount(rows, minlength=len(column))
     long_enough = lengths[keys // len(index.ids)] >= DENSITY * index.window[item_of]
     keys = keys[(counts >= np.minimum(PREFIX_HITS, index.need[item_of])) & long_enough]
     if not len(keys):
         return []
+    # All shingles are looked up in the rows of the candidates alone.
+    candidate = np.zeros(len(column), bool)
+    candidate[keys // len(index.ids)] = True
+    inside = candidate[rows]
+    points, rows = points[inside], rows[inside]
+    where, which = index.lookup(points, rows)
+    post, source = index.postings(which)
+    pair = rows[where[source]].astype(np.int64) * len(index.ids) + index.item[post]
     chosen = np.flatnonzero(np.isin(pair, keys))
     # Positional bound: enough distinct seeds in one of two overlapping series of diagonal bands.
     dpos, ipos, pair = where[source[chosen]].astype(np.int64), index.position[post[chosen]].astype(np.int64), pair[chosen]
@@ -231,7 +243,8 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
     ids: list = []
     texts: list[str] = []
     size = 0
-    for r in items.where("item_id is not null and item_text is not null").select("item_id", "item_text").distinct().orderBy("item_id").toLocalIterator():
+    texts_of = F.regexp_replace("item_text", SPEAKER, "").alias("item_text")
+    for r in items.where("item_id is not null and item_text is not null").select("item_id", texts_of).distinct().orderBy("item_id").toLocalIterator():
         if ids and size + len(r.item_text) > BLOCK_CHARS:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -245,6 +258,7 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, leaked_share) for each document that holds a passage of an item.
 
+    Speaker names at line starts count in neither table; an item of fewer letters than a shingle leaks where it stands whole.
     ``leaked_share``: part of the item's letters and digits that the longest leaked stretch
     spans.  Null texts hold nothing; items without letters leak nowhere; repeated rows of
     either table count once; items with the same text are reported each under its own id.
