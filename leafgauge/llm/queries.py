@@ -47,17 +47,19 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    scores = table(spark, d, "region_scores").select("score_id", "evaluation_id", "category", "ocr_policy", "cer")
+    scores = table(spark, d, "region_scores").select("score_id", "evaluation_id", "category", "ocr_policy", "page_id", "cer")
     return percentiles.measurements(scores, "cer", "score_id")
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Exact p50, p90 and p95 of cer for each category and policy, of each day and of all days."""
+    """Exact p50, p90 and p95 of cer for each category and policy, of each day and of all days, and for each page and policy."""
     groups = ["scope", "category", "ocr_policy"]
-    day = percentiles.counted_values(_scores(spark, d).withColumnRenamed("evaluation_id", "scope"), groups, "cer")
-    day = cut(day)
+    scores = cut(_scores(spark, d))
+    day = cut(percentiles.counted_values(scores.withColumnRenamed("evaluation_id", "scope"), groups, "cer"))
     whole = day.groupBy("category", "ocr_policy", "v").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("all"))
-    return percentiles.exact_percentiles(cut(day.unionByName(whole)), groups, PROBS)
+    pages = scores.select(F.col("page_id").alias("scope"), F.lit(None).cast("string").alias("category"), "ocr_policy", "cer")
+    page = percentiles.counted_values(pages, groups, "cer")
+    return percentiles.exact_percentiles(cut(day.unionByName(whole).unionByName(page)), groups, PROBS)
 
 
 def p3_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -191,13 +193,32 @@ def oracle_sql() -> dict[str, str]:
         """,
         "p3_percentiles": """
             with good as (
-                select any_value(evaluation_id) as evaluation_id, any_value(category) as category, any_value(ocr_policy) as ocr_policy, any_value(cer) as cer from region_scores
+                select any_value(evaluation_id) as evaluation_id, any_value(page_id) as page_id, any_value(category) as category, any_value(ocr_policy) as ocr_policy, any_value(cer) as cer from region_scores
                 where cer is not null and not isnan(cer) and not isinf(cer) and cer >= 0 group by score_id
-            ), scoped as (select evaluation_id as scope, category, ocr_policy, cer from good union all select 'all', category, ocr_policy, cer from good),
+            ), scoped as (select evaluation_id as scope, category, ocr_policy, cer from good union all select 'all', category, ocr_policy, cer from good
+                union all select page_id, null, ocr_policy, cer from good
+            ),
             ranked as (
                 select *, row_number() over (partition by scope, category, ocr_policy order by cer) as k, count(*) over (partition by scope, category, ocr_policy) as n from scoped
             )
             select scope, category, ocr_policy, p, n, cer as value from ranked, (values (0.5::double), (0.9::double), (0.95::double)) t(p)
             where k = greatest(1, cast(ceil(p * n) as bigint))
         """,
+        "p3_merged": """
+            with good as (
+                select any_value(category) as category, any_value(ocr_policy) as ocr_policy, any_value(cer) as cer from region_scores
+                where cer is not null and not isnan(cer) and not isinf(cer) and cer >= 0 group by score_id
+            ), lifted as (select *, floor(log2(greatest(cer, pow(2, -60)))) as e from good),
+            exact as (select *, greatest(-60, case when pow(2, e) > cer then e - 1 when pow(2, e + 1) <= cer then e + 1 else e end) as x from lifted),
+            cells as (
+                select category, ocr_policy, case when cer = 0 then 0 else (x + 61) * 128 + least(floor(greatest(0, cer / pow(2, x) - 1) * 128), 127) + 1 end as cell,
+                       count(*) as n, min(cer) as low, max(cer) as high
+                from exact group by all
+            ), run as (
+                select *, sum(n) over (partition by category, ocr_policy order by cell) as upto, sum(n) over (partition by category, ocr_policy) as total from cells
+            )
+            select category, ocr_policy, p, cast(total as bigint) as n, (low + high) / 2 as value, (high - low) / 2 as error_bound
+            from run, (values (0.5::double), (0.9::double), (0.95::double)) t(p)
+            where upto >= greatest(1, ceil(p * total)) and upto - n < greatest(1, ceil(p * total))
+        """,
     }

@@ -337,6 +337,12 @@ def test_leaks(spark):
     assert leakage.leaked_items(df, it.limit(0)).count() == 0 and leakage.leaked_items(df.limit(0), it).count() == 0
 
 
+def test_leaks_of_short_and_spoken_items(spark):
+    items = spark.createDataFrame([(1, "Paris shone"), (2, "花が咲く"), (3, "Q: who?\nA: Tom Bowling\nQ: when?\nA: on the eve of the battle\nQ: where did the apothecary go?")], "item_id long, item_text string")
+    docs = spark.createDataFrame([(1, "At night PARIS  shone again."), (2, "庭に花が、咲くころ。"), (3, "Notes.\nQ: who?\nA: Tom Bowling\nQ: when?\nA: on the eve of the battle\nQ: where did the apothecary go?\nEnd."), (4, "Paris was shown; 花は咲く。")], "doc_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in leakage.leaked_items(docs, items).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_leaks_in_blocks(spark, data, monkeypatch):
     d, i = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
     whole = rows_of(leakage.leaked_items(d, i))
