@@ -24,11 +24,15 @@ def stable_reads(reads: DataFrame, key: str, order: list[str], digest: str, idle
 
 
 def final_states(events: DataFrame, key: str, order: str, kind: str, failed: str, finished: str, warning: str) -> DataFrame:
-    """(key, state, warnings): failed beats finished; warnings are counted up to then; else running."""
-    return events.groupBy(key).agg(
-        F.when(F.max(F.col(kind) == failed), "failed").when(F.max(F.col(kind) == finished), "finished").otherwise("running").alias("state"),
-        F.count_if(F.col(kind) == warning).alias("warnings"), F.max(order).alias("last_seen"),
-    )
+    """(key, state, warnings, last_seen): the first end in ``order`` decides; warnings are counted before it; without an end running.
+
+    Of several events at the same place in ``order`` a failure counts before a finish.
+    """
+    end = F.when(F.col(kind).isin(failed, finished), F.struct(F.col(order).alias("o"), F.when(F.col(kind) == failed, 0).otherwise(1).alias("k")))
+    first = events.groupBy(F.col(key).alias("_key")).agg(F.min(end).alias("end"), F.max(order).alias("last_seen"))
+    early = events.where(F.col(kind) == warning).join(first, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("end").isNull() | (F.col(order) < F.col("end.o"))).groupBy("_key").agg(F.count("*").alias("warnings")).withColumnRenamed("_key", "_w")
+    state = F.when(F.col("end").isNull(), "running").when(F.col("end.k") == 0, "failed").otherwise("finished")
+    return first.join(early, F.col("_key").eqNullSafe(F.col("_w")), "left").select(F.col("_key").alias(key), state.alias("state"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "last_seen")
 
 
 def allowed_fields(rows: DataFrame, allowed: list[str]) -> DataFrame:

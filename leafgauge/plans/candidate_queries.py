@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +78,10 @@ def challenge_selection(spark: SparkSession, d: str) -> DataFrame:
 def paired_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     o = _outputs(spark, d).join(_gold(spark, d).select("region_id", D.page_key(F.col("page_id")).alias("page_id")), "region_id")
     long = cut(o.select("candidate", F.lit("semantic-usable").alias("metric"), "region_id", "page_id", F.col("semantic_usable").cast("int").alias("value")))
-    parts = [translation.paired_bootstrap(long, a, b, "semantic-usable", REPLICATES, SEED) for i, a in enumerate(CANDIDATES) for b in CANDIDATES[i + 1 :]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # The candidates that compete are few; each pair of them is a comparison of its own.
+    ids = sorted(r.candidate for r in long.select("candidate").distinct().collect())
+    parts = [translation.paired_bootstrap(long, a, b, "semantic-usable", REPLICATES, SEED) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    return reduce(DataFrame.unionByName, parts) if parts else translation.paired_bootstrap(long, "", "", "semantic-usable", REPLICATES, SEED)
 
 
 def candidate_iou_match(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +95,16 @@ def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
     return candidates.scores(g, c, cut(candidates.greedy_matches(g, c)))
 
 
+def candidate_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """What a release would accept of each candidate, measure by measure."""
+    return candidates.acceptance(candidate_scores(spark, d))
+
+
+def candidate_winner(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate that passes the hard gate with the greatest score."""
+    return candidates.winner(candidate_scores(spark, d))
+
+
 def translation_route_mix(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translation_candidates").dropDuplicates(["candidate_row"])
     return t.groupBy("model", "route", "selection_reason").agg(F.count("*").alias("answers"), F.count_if("selected").alias("selected"), F.count_if(F.trim("text") == "").alias("blank"), F.count("confidence").alias("with_confidence"))
@@ -168,7 +182,7 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     found = [
-        translation_attribution, translation_review_rates, translation_structural_flags, translation_challenge_metrics, challenge_stratified_topk, challenge_selection, paired_bootstrap_ci, candidate_iou_match, candidate_scores, translation_route_mix,
+        translation_attribution, translation_review_rates, translation_structural_flags, translation_challenge_metrics, challenge_stratified_topk, challenge_selection, paired_bootstrap_ci, candidate_iou_match, candidate_scores, candidate_acceptance, candidate_winner, translation_route_mix,
         rendered_page_fallback, provenance_carry, text_patch_plan, mask_overlap, polygon_containment, raster_outside_mask, journal_sequence_check, stable_read, operation_terminal_state, event_windows,
     ]
     return {f.__name__: f for f in found}
@@ -229,7 +243,9 @@ def oracle_sql() -> dict[str, str]:
         "journal_sequence_check": f"""select user_id, position, found, expected from (select user_id, event_type as found, (row_number() over (partition by user_id order by ts, event_id) - 1)::int as position,
             ({PHASES})[((row_number() over (partition by user_id order by ts, event_id) - 1) % 5 + 1)::int] as expected from events) where found is distinct from expected""",
         "stable_read": """select user_id, min(k)::int as "at" from (select user_id, row_number() over w as k, event_type = lag(event_type) over w and event_type <> 'error' and lag(event_type) over w <> 'error' as same from events window w as (partition by user_id order by ts, event_id)) where same group by user_id""",
-        "operation_terminal_state": "select user_id, case when bool_or(event_type = 'error') then 'failed' when bool_or(event_type = 'purchase') then 'finished' else 'running' end as state, count(*) filter (event_type = 'view') as warnings, max(ts) as last_seen from events group by user_id",
+        "operation_terminal_state": """with ends as (select user_id, min(ts) filter (event_type in ('error', 'purchase')) as first_end, max(ts) as last_seen from events group by user_id)
+            select e.user_id, case when first_end is null then 'running' when bool_or(event_type = 'error' and ts = first_end) then 'failed' else 'finished' end as state,
+                count(*) filter (event_type = 'view' and (first_end is null or ts < first_end)) as warnings, last_seen from events e join ends n on e.user_id is not distinct from n.user_id group by e.user_id, first_end, last_seen""",
         "event_windows": "select date_trunc('hour', ts) as hour, event_type, count(*) as events, round(sum(value), 6) as total, sum((props::json ->> '$.k')::bigint)::bigint as k from events group by all",
         "raster_outside_mask": f"""with {_GRID}, b as (select vec_id, x, y, v::double * 255 as b from px), g as (select vec_id, x, y, b, case when x < 4 then b else -b end as v, b > 25 as m from b),
             e as (select g.*, sqrt(pow(-{grey.format(-1, -1)} + {grey.format(1, -1)} - 2 * {grey.format(-1, 0)} + 2 * {grey.format(1, 0)} - {grey.format(-1, 1)} + {grey.format(1, 1)}, 2)

@@ -13,7 +13,7 @@ OUT = "operation string, state string, warnings long"
 
 
 class FinalState(StatefulProcessor):
-    """Emits an operation's state once: failed or finished when seen, timed-out after the deadline, if there is one."""
+    """Emits an operation's state once: that of its first end (by ``ts`` within a batch, if there is one) with the warnings before it, timed-out after the deadline, if there is one."""
 
     def __init__(self, deadline_ms: int | None = None):
         self.deadline_ms = deadline_ms
@@ -26,11 +26,14 @@ class FinalState(StatefulProcessor):
         warnings, done = self.seen.get() if self.seen.exists() else (0, False)
         if self.deadline_ms is not None and not self.seen.exists():
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.deadline_ms)
-        kinds: list[str] = []
-        for pdf in rows:
-            kinds += pdf["kind"].tolist()
-        warnings += kinds.count("warning")
-        state = "failed" if "failed" in kinds else "finished" if "finished" in kinds else None
+        got = pd.concat(list(rows))
+        if "ts" in got:  # otherwise in the order of arrival
+            got = got.sort_values("ts", kind="stable")
+        kinds = got["kind"].tolist()
+        end = next((i for i, k in enumerate(kinds) if k in ("failed", "finished")), None)
+        state = None if end is None else kinds[end]
+        if not done:
+            warnings += kinds[:end].count("warning")
         emit = state is not None and not done
         self.seen.update((int(warnings), bool(done or emit)))
         if emit:

@@ -3,9 +3,9 @@
 import pytest
 from conftest import rows_of, same_as_sql
 
-from leafgauge.plans import candidate_queries, nested_queries, ocr_queries, region_queries
+from leafgauge.plans import candidate_queries, nested_queries, ocr_queries, region_queries, review_queries
 
-MODULES = (nested_queries, ocr_queries, region_queries, candidate_queries)
+MODULES = (nested_queries, ocr_queries, region_queries, candidate_queries, review_queries)
 QUERIES = {n: f for m in MODULES for n, f in m.queries().items()}
 SQL = {n: s for m in MODULES for n, s in m.oracle_sql().items()}
 
