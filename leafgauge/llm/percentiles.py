@@ -59,24 +59,29 @@ def exact_percentiles(counted: DataFrame, groups: list[str], probs: list[float])
     key = F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(1).alias("all"))
     rows = counted.select(key.alias("g"), "v", "n")
     ends = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    state = ends.select("g", "lo", "hi", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    state = cut(state.select("g", "p", "total", "lo", "hi", _rank(F.col("p"), F.col("total")).alias("r")))
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), _rank(F.lit(float(p)), F.col("total")).alias("r")) for p in probs])
+    state = cut(ends.select("g", "lo", "hi", "total", targets.alias("targets")))
     done = [state.where("lo = hi")]
     open_ = state.where("lo < hi")
     while not open_.isEmpty():
-        # Intervals: one row for each open group and percentile.  Rows outside all of a group's intervals drop out in the join.
+        # One row for each open interval of a group, with the percentiles sought in it.  Rows outside all of a group's intervals drop out in the join.
         part = F.least(F.lit(PARTS - 1), F.floor((F.col("v") / F.col("width") - F.col("lo") / F.col("width")) * PARTS)).cast("int")
-        o = open_.withColumnRenamed("g", "og").withColumn("width", F.col("hi") - F.col("lo"))
+        o = open_.select(F.col("g").alias("og"), "lo", "hi", (F.col("hi") - F.col("lo")).alias("width"))
         o = o.withColumn("width", F.when(F.col("width") == float("inf"), F.lit(1e308)).otherwise(F.greatest("width", F.lit(1e-300))))
         met = rows.join(o, rows.g.eqNullSafe(F.col("og")) & F.col("v").between(F.col("lo"), F.col("hi")))
-        counts = met.groupBy("og", "p", "total", "r", F.when(F.col("v") == F.col("hi"), PARTS - 1).when(F.col("v") == F.col("lo"), 0).otherwise(F.greatest(F.lit(0), part)).alias("part")).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
-        # At most PARTS rows of an interval meet in this window.
-        upto = F.sum("c").over(W.partitionBy("og", "p").orderBy("part"))
-        state = cut(counts.withColumn("upto", upto).where("upto >= r and upto - c < r").select(F.col("og").alias("g"), "p", "total", F.col("a").alias("lo"), F.col("b").alias("hi"), (F.col("r") - F.col("upto") + F.col("c")).alias("r")))
+        counts = met.groupBy("og", "lo", F.when(F.col("v") == F.col("hi"), PARTS - 1).when(F.col("v") == F.col("lo"), 0).otherwise(F.greatest(F.lit(0), part)).alias("part")).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        # At most PARTS rows of an interval meet here.
+        parts = counts.groupBy("og", "lo").agg(F.array_sort(F.collect_list(F.struct("part", "c", "a", "b"))).alias("parts"))
+        upto = parts.withColumn("parts", F.transform("parts", lambda x, i: F.struct(x["c"].alias("c"), x["a"].alias("a"), x["b"].alias("b"), F.aggregate(F.slice("parts", 1, i + 1), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("upto"))))
+        held = upto.join(open_.select("g", F.col("lo").alias("from"), "total", "targets"), F.col("og").eqNullSafe(F.col("g")) & (F.col("lo") == F.col("from")))
+        part_of = held.select("g", "total", "targets", F.explode("parts").alias("x"))
+        inside = F.filter("targets", lambda t: (t["r"] <= F.col("x.upto")) & (t["r"] > F.col("x.upto") - F.col("x.c")))
+        left = F.transform(inside, lambda t: F.struct(t["p"].alias("p"), (t["r"] - F.col("x.upto") + F.col("x.c")).alias("r")))
+        state = cut(part_of.select("g", F.col("x.a").alias("lo"), F.col("x.b").alias("hi"), "total", left.alias("targets")).where("size(targets) > 0"))
         done.append(state.where("lo = hi"))
         open_ = state.where("lo < hi")
     found = reduce(DataFrame.unionByName, done)
-    return found.select(*[F.col("g")[g].alias(g) for g in groups], "p", F.col("total").alias("n"), F.col("lo").alias("value"))
+    return found.select(*[F.col("g")[g].alias(g) for g in groups], F.explode("targets.p").alias("p"), F.col("total").alias("n"), F.col("lo").alias("value"))
 
 
 def cell_of(value: Column, bits: int = BITS) -> Column:

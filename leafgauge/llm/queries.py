@@ -54,12 +54,13 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact p50, p90 and p95 of cer for each category and policy, of each day and of all days, and for each page and policy."""
     groups = ["scope", "category", "ocr_policy"]
-    scores = cut(_scores(spark, d))
-    day = cut(percentiles.counted_values(scores.withColumnRenamed("evaluation_id", "scope"), groups, "cer"))
-    whole = day.groupBy("category", "ocr_policy", "v").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("all"))
-    pages = scores.select(F.col("page_id").alias("scope"), F.lit(None).cast("string").alias("category"), "ocr_policy", "cer")
-    page = percentiles.counted_values(pages, groups, "cer")
-    return percentiles.exact_percentiles(cut(day.unionByName(whole).unionByName(page)), groups, PROBS)
+    each = F.inline(F.array(
+        F.struct(F.col("evaluation_id").alias("scope"), "category", F.lit(False).alias("page"), "ocr_policy", "cer"),
+        F.struct(F.col("page_id").alias("scope"), F.lit(None).cast("string").alias("category"), F.lit(True).alias("page"), "ocr_policy", "cer"),
+    ))
+    counted = cut(percentiles.counted_values(_scores(spark, d).select(each), [*groups, "page"], "cer"))
+    whole = counted.where("not page").groupBy("category", "ocr_policy", "v").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("all"))
+    return percentiles.exact_percentiles(counted.drop("page").unionByName(cut(whole)), groups, PROBS)
 
 
 def p3_merged(spark: SparkSession, d: str) -> DataFrame:
