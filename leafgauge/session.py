@@ -40,14 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a folder of this process is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    everything runs in this process (tests) a folder of its own is used; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafgauge-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
