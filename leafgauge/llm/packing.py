@@ -69,24 +69,9 @@ def _encoding(path: str):
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-#: Longer texts are encoded in parts that end at white space or a line's end; sizes may differ by a token a part.
-PART_CHARS = 20_000
-
-
 def count_tokens(text: str, path: str) -> int:
-    """Tokens of the whole text."""
-    encode = _encoding(path)
-    if len(text) <= PART_CHARS:
-        return len(encode(text))
-    total, start = 0, 0
-    while start < len(text):
-        end = min(len(text), start + PART_CHARS)
-        if end < len(text):
-            at = max(text.rfind(c, start + PART_CHARS // 2, end) for c in "\n 。")
-            end = at + 1 if at > 0 else end
-        total += len(encode(text[start:end]))
-        start = end
-    return total
+    """Tokens of the whole text, encoded in one pass."""
+    return len(_encoding(path)(text))
 
 
 def token_sizes(documents: DataFrame, path: str | None = None) -> DataFrame:
