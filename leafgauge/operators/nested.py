@@ -1,6 +1,6 @@
 """Deeply nested scene documents as flat tables that keep parent-child links.
 
-A scene is parsed once into a VARIANT.  Nested higher-order functions walk pages, groups and
+A scene is parsed into a VARIANT.  Nested higher-order functions walk pages, groups and
 nodes, attach the ancestors' keys and positions on the way down, ``flatten`` joins the
 arrays of one level with those of the next, and one ``inline`` per target table emits rows.
 There is no Python and no shuffle besides the final removal of repeated deliveries.
@@ -8,7 +8,7 @@ There is no Python and no shuffle besides the final removal of repeated deliveri
 Shapes that are read: pages and nodes as arrays or as objects keyed by id; ids in the
 object (``id`` or the alias of its kind) or as the key; the scene itself, one wrapped in
 ``{"epoch": .., "scene": ..}`` and one encoded as a JSON string again (any number of such
-layers up to three); the component layout, where a ``SourceText`` component's owner is a
+layers); the component layout, where a ``SourceText`` component's owner is a
 text node and ``Parent`` components, if any, name the enclosing group.
 
 Depth is not limited: one projection unrolls ``LEVELS`` levels of groups; what is nested
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from leafgauge.session import cut
 
 LEVELS = 3
+#: String layers around a scene, at most.
+LAYERS = 31
 
 _ENTRY = "array<struct<key:string,val:variant>>"
 
@@ -47,17 +49,20 @@ def _id(entry: str, *names: str) -> str:
     return "coalesce(" + ", ".join([*(_text(f"{entry}.val", f"$.{n}") for n in names), f"{entry}.key"]) + ")"
 
 
-def _has(v: str, name: str) -> str:
-    """SQL: the object has the key, whatever its value."""
-    return f"coalesce(map_contains_key(try_variant_get({v}, '$', 'map<string,variant>'), '{name}'), false)"
+def _has(v: str, path: str) -> str:
+    """SQL: the path leads to a value; JSON's null is one."""
+    return f"(try_variant_get({v}, '{path}', 'variant') is not null)"
 
 
 def readable_scenes(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_id, scene variant) of the snapshots whose scene is a JSON object."""
-    df = snapshots.select("snapshot_id", F.expr("try_parse_json(trim(both '﻿ \t\r\n' from scene))").alias("v"))
-    for _ in range(3):
-        df = df.withColumn("v", F.expr("case when schema_of_variant(v) = 'STRING' then try_parse_json(try_variant_get(v, '$', 'string')) else v end"))
-    df = df.where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    """(snapshot_id, scene variant) of the snapshots whose scene is a JSON object.
+
+    Each string layer escapes the quotes of the one inside and so doubles their number of signs: more than LAYERS
+    of them don't fit into a string.
+    """
+    blank = "trim(both '\ufeff \t\r\n' from {0})"
+    peeled = f"aggregate(sequence(1, {LAYERS}), {blank.format('scene')}, (t, i) -> if(startswith(t, '\"'), {blank.format(_text('try_parse_json(t)', '$'))}, t))"
+    df = snapshots.select("snapshot_id", F.expr(peeled).alias("t")).where("startswith(t, '{')").select("snapshot_id", F.expr("try_parse_json(t)").alias("v")).where("v is not null")
     inner = F.expr("case when try_variant_get(v, '$.scene.pages', 'variant') is not null or try_variant_get(v, '$.scene.components', 'variant') is not null then try_variant_get(v, '$.scene', 'variant') else v end")
     return df.select("snapshot_id", inner.alias("scene"))
 
@@ -78,10 +83,9 @@ def _walk(nodes: str, parent: str, level: int) -> str:
     n, i = f"n{level}", f"i{level}"
     me = _id(n, "id", "nodeId", "node_id")
     kids = f"try_variant_get({n}.val, '$.kind.group.nodes', 'variant')"
-    kind = f"try_variant_get({n}.val, '$.kind', 'variant')"
-    is_group = _has(kind, "group")
+    is_group, is_text = _has(f"{n}.val", "$.kind.group"), _has(f"{n}.val", "$.kind.text")
     own = (
-        f"named_struct('parent_id', {parent}, 'node_id', {me}, 'node_index', {i}, 'is_text', {_has(kind, 'text')}, 'is_group', {is_group}, "
+        f"named_struct('parent_id', {parent}, 'node_id', {me}, 'node_index', {i}, 'is_text', {is_text}, 'is_group', {is_group}, "
         f"'node', {n}.val, 'rest', {f'if({is_group}, {kids}, null)' if level == 0 else 'cast(null as variant)'})"
     )
     if level == 0:
