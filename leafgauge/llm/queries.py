@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,16 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.numbered_pieces(cut(_fragments(spark, d).drop("fragment_text")))
 
 
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per chapter what its pieces hold anew, letters and regions, each once, and whether all pieces keep the limit."""
+    f = cut(_fragments(spark, d).drop("fragment_text"))
+    size = F.col("end_char") - F.col("start_char")
+    piece = f.groupBy("chapter_id", "seg", "block", "local_piece").agg(F.sum(size).alias("size"), F.max("max_chars").alias("max_chars"))
+    kept = piece.groupBy("chapter_id").agg(F.min(F.col("size") <= F.col("max_chars")).alias("within_limit"))
+    new = f.where("not repeated").groupBy("chapter_id").agg(F.sum(size).cast("long").alias("chars"), F.count_distinct("region_id").alias("regions"))
+    return new.join(kept, "chapter_id")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chapter_manifests").select(F.inline("source_files"))
 
@@ -46,6 +58,14 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return groupsplit.assign_splits(_page_rows(spark, d), _pages(spark, d), SHARES)
 
 
+def p2_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a split per table, and how many works and pages lie in more than one split."""
+    splits = cut(groupsplit.assign_splits(_page_rows(spark, d), _pages(spark, d), SHARES))
+    torn = lambda key: splits.where(F.col(key).isNotNull()).groupBy(key).agg((F.min("split") != F.max("split")).alias("t")).agg(F.lit(f"torn {key}").alias("measure"), F.count_if("t").alias("n"))
+    rows = splits.groupBy(F.col("row_table").alias("measure")).agg(F.count("split").alias("n"))
+    return rows.unionByName(torn("group_page_id")).unionByName(torn("page_id"))
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     scores = table(spark, d, "region_scores").select("score_id", "evaluation_id", "category", "ocr_policy", "page_id", "cer")
     return percentiles.measurements(scores, "cer", "score_id")
@@ -119,6 +139,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p7_loads(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers: their number, documents whose pieces don't add up to a whole, and containers that hold too much."""
+    packed = cut(_packed(spark, d))
+    bins = packed.groupBy("container_id").agg(F.sum("size").alias("load"), F.max("container_load").alias("told"))
+    docs = packed.groupBy("doc_id").agg(((F.count_distinct("piece") == F.max("piece") + 1) & (F.count("*") == F.count_distinct("piece"))).alias("whole"))
+    n = lambda df, name, c: df.agg(F.lit(name).alias("measure"), F.count_if(c).alias("n"))
+    parts = [n(docs, "documents", F.lit(True)), n(docs, "broken", ~F.col("whole")), n(bins, "overfull", F.col("load") > packing.CAPACITY), n(bins, "mistold", F.col("load") != F.col("told"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Items and the documents that hold a passage of them."""
     return p8_leaks(spark, d).select("item_id", "doc_id")
@@ -152,8 +182,8 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     """All queries of this subpackage by name."""
     found = [
-        p1_found, p1_pieces, p2_found, p2_splits, p3_percentiles, p3_merged, p4_found, p4_pairs, p6_found, p6_canonical,
-        p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates,
+        p1_found, p1_pieces, p1_coverage, p2_found, p2_splits, p2_kept, p3_percentiles, p3_merged, p4_found, p4_pairs, p6_found, p6_canonical,
+        p7_found, p7_containers, p7_loads, p8_found, p8_leaks, p9_found, p9_scores, p9_source_rates,
     ]
     return {f.__name__: f for f in found}
 
@@ -171,6 +201,18 @@ def oracle_sql() -> dict[str, str]:
             union all select 'page', page_id from sized group by page_id, max_chars having sum(n) > max_chars
             union all select 'region', region_id from sized where n > max_chars
         """,
+        "p1_coverage": """
+            with valid as (
+                select chapter_id, region_id, max(coalesce(length(source_text), 0)) as n
+                from (select *, rank() over (partition by region_id order by updated_at desc) as k from partial_regions) where k = 1 group by chapter_id, region_id
+            )
+            select chapter_id, sum(n)::bigint as chars, count(*) as regions, true as within_limit from valid join chapter_manifests using (chapter_id) group by chapter_id
+        """,
+        "p2_kept": """
+            select 'ocr_benchmark_regions' as measure, count(*) as n from ocr_benchmark_regions union all select 'routing_observations', count(*) from routing_observations
+            union all select 'torn group_page_id', 0 union all select 'torn page_id', 0
+        """,
+        "p7_loads": "select 'documents' as measure, count(distinct doc_id) as n from documents union all select 'broken', 0 union all select 'overfull', 0 union all select 'mistold', 0",
         "p2_found": """
             with recursive pages as (
                 select cast(regexp_replace(f.page_id, '[^0-9]', '', 'g') as bigint) as page, f.page_id as spelling, lower(trim(f.sha256)) as sha,
