@@ -61,5 +61,19 @@ def oracle_sql() -> dict[str, str]:
             select distinct snapshot_id, page_id, parent_id, node_id from tree where is_text
             union select snapshot_id, page_id, page_id, node_id from ({comps}) where type = 'SourceText'
         """,
+        "p5_pages": f"""{_NODES}, listed as (
+                select snapshot_id, unnest(list_transform(cast(j -> '$.pages' as json[]), lambda x, i: {{'k': cast(null as varchar), 'p': x, 'i': i - 1}})) as e from readable where json_type(j, '$.pages') = 'ARRAY'
+                union all select snapshot_id, unnest(list_transform(list_sort(json_keys(j, '$.pages')), lambda x, i: {{'k': x, 'p': json_extract(j, '$.pages."' || x || '"'), 'i': i - 1}})) from readable where json_type(j, '$.pages') = 'OBJECT'
+            ), owned as (
+                select snapshot_id, unnest(list_transform(cast(j -> '$.components' as json[]), lambda x, i: {{'p': x ->> '$.pageId', 'i': i - 1}})) as c from readable where json_type(j, '$.components') = 'ARRAY'
+            )
+            select distinct snapshot_id, coalesce(e.p ->> '$.id', e.p ->> '$.pageId', e.p ->> '$.page_id', e.k) as page_id, e.i::int as page_index, try_cast(e.p ->> '$.width' as double) as width, try_cast(e.p ->> '$.height' as double) as height from listed
+            union select snapshot_id, c.p, min(c.i)::int, null, null from owned where c.p is not null group by snapshot_id, c.p
+        """,
+        "p5_candidates": f"""{_NODES}, c as (
+                select snapshot_id, page_id, node_id, unnest(list_transform(cast(n -> '$.kind.text.ocrCandidates' as json[]), lambda x, i: {{'c': x, 'i': i - 1}})) as e from tree where is_text and json_type(n, '$.kind.text.ocrCandidates') = 'ARRAY'
+            )
+            select distinct snapshot_id, page_id, node_id, e.i::int as candidate_index, e.c ->> '$.engine' as engine, e.c ->> '$.text' as candidate_text from c
+        """,
         "p5_groups": f"{_NODES} select distinct snapshot_id, page_id, parent_id, node_id as group_id, n ->> '$.kind.group.name' as group_name from tree where is_group",
     }

@@ -78,8 +78,8 @@ def overlay_patch_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlay_unknown_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Observations whose region isn't in the benchmark."""
-    o = D.observations(spark, d).select(F.col("observation_id").alias("region_id"))
+    """Answered regions that aren't in the benchmark."""
+    o = table(spark, d, "translation_candidates").where("region_id is not null").select("region_id").distinct()
     return ocr.unknown_keys(D.benchmark_regions(spark, d), o, "region_id")
 
 
@@ -234,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
             case when (b.detection_status = 'detected') is distinct from o.detected then 'detected' end], lambda x: x is not null), ',') as conflict from bench b join obs o on o.observation_id = b.region_id) where conflict <> ''""",
         "overlay_patch_join": f"""with {D.REGIONS_SQL}, firsts as (select * from (select *, row_number() over (partition by region_id order by received_at, row_id) as k from ocr_benchmark_regions where region_id is not null) where k = 1)
             select f.region_id, coalesce(b.category, f.category) as category, coalesce(b.expected_ocr, f.expected_ocr) as expected_ocr from firsts f left join bench b using (region_id)""",
-        "overlay_unknown_ids": f"with {D.REGIONS_SQL}, {D.OBSERVATIONS_SQL} select observation_id as region_id from obs where observation_id not in (select region_id from bench)",
+        "overlay_unknown_ids": f"with {D.REGIONS_SQL} select distinct region_id from translation_candidates where region_id is not null and region_id not in (select region_id from bench)",
         "runtime_policy_strict": runtime("qa-blocked"),
         "runtime_policy_low_manual": runtime("paddle"),
         "arbitration_lopo_model": f"{_MODEL} select * from models",

@@ -123,7 +123,7 @@ def scene_walk_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCENE_SCHEMA = {
-    "type": "object", "required": ["project"], "properties": {"project": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string", "pattern": "^project-[0-9]+$"}}}, "components": {"type": "array", "items": {"$ref": "#/$defs/component"}}},
+    "type": "object", "required": ["project", "pages"], "properties": {"project": {"type": "object", "required": ["id"], "properties": {"id": {"type": "string", "pattern": "^project-[0-9]+$"}}}, "components": {"type": "array", "items": {"$ref": "#/$defs/component"}}},
     "$defs": {"component": {"type": "object", "required": ["type", "ownerId", "pageId"], "properties": {"type": {"enum": ["SourceText", "Translation", "Geometry"]}}}},
 }
 
@@ -233,6 +233,9 @@ def oracle_sql() -> dict[str, str]:
         "manifest_pins": f"""select page_id, rule from (select f.page_id as page_id, case when f.sha256 is null then 'missing' when not regexp_full_match(lower(f.sha256), '[0-9a-f]{{64}}') then 'malformed'
             when replace(lower(f.sha256), lower(f.sha256)[1], '') = '' then 'placeholder' end as rule from chapter_manifests, unnest(source_files) t(f)) where rule is not null""",
         "fallback_ids": f"with {D.REGIONS_SQL} select region_id, sha256('ocr-m3.2-region:' || region_id) as opaque, 'region-' || sha256(page_id || '/' || region_id)[1:16] as fallback from bench",
+        "input_order": r"""with f as (select chapter_id, unnest(source_files) as f from chapter_manifests),
+            k as (select chapter_id, f.page_id as page_id, f.file_name as file_name, array_to_string(list_transform(regexp_extract_all(lower(f.file_name), '\d+|\D+'), lambda x: case when regexp_matches(x, '^\d') then '0' || lpad(ltrim(x, '0'), 40, '0') else x end), chr(1)) as key from f)
+            select chapter_id, page_id, file_name, (row_number() over (partition by chapter_id order by key nulls first, page_id) - 1)::int as position from k""",
         "length_strata": f"""with {D.REGIONS_SQL}, n as (select category, case when ocr_eligibility = 'eligible' then length({D.norm_sql('expected_ocr')}) end as n from bench)
             select category, case when n is null then 'not-applicable' when n <= 8 then 'short' when n <= 20 then 'medium' else 'long' end as stratum, count(*) as regions from n group by all""",
     }
