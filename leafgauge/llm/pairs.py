@@ -52,6 +52,8 @@ UPDATES = 180
 BATCH = 1500
 SEED = 11
 COPIED = 0.7
+#: From this share of kana on a text is Japanese.
+KANA_SHARE = 0.25
 #: So many letters are judged at once.
 RUN_CHARS = 400_000
 SOUND_WEIGHT = 20.0
@@ -306,7 +308,7 @@ class PairClassifier:
 
         The classifier's greatest margin above 0 decides.  An exact check of the definitions follows: only a source with
         kana can be copied, by at least COPIED of its letter pairs (what else was taken for a copy counts as
-        in another language where it is); an answer of mostly Han letters isn't in another language; a refusal isn't one, nor broken off;
+        in another language where it is); an answer of mostly Han letters and few kana isn't in another language; a refusal isn't one, nor broken off;
         what came back unchanged from a source without kana is sound.
         """
         m = self.margins(sources, answers)[:, : len(DEFECTS)].copy()
@@ -319,7 +321,8 @@ class PairClassifier:
         kept = np.bincount((np.intersect1d(x, y, assume_unique=True) >> np.uint64(40)).astype(np.int64), minlength=len(m)) / np.maximum(ny, 1)
         copied = (s.count(kana[s.points]) > 0) & (kept >= COPIED)
         han = a.count(kind[a.points] == _HAN_KIND)
-        foreign = (a.size > 0) & (han < 0.5 * a.size)
+        # Japanese may be mostly Han letters, too, but not without kana.
+        foreign = (a.size > 0) & ((han < 0.5 * a.size) | (a.count(kana[a.points]) >= KANA_SHARE * a.size))
         same = (a.size == s.size) & (a.whole() == s.whole())
         copy, language, refused = DEFECTS.index("copy"), DEFECTS.index("wrong_language"), DEFECTS.index("refusal")
         taken = (m.argmax(1) == copy) & (m[:, copy] > 0) & ~copied & foreign & (a.count(kind[a.points] == _DIGIT_KIND) < a.size)
@@ -476,7 +479,7 @@ def training_set(pairs: list[tuple[str, str]], foreign: list[str], part: int | N
                 add(s, swapped[1], 5)
         k = rng.random()
         other = str(rng.choice(foreign)) if foreign and k < 0.4 else _noise_language(len(t), rng) if k < 0.6 else sources[int(rng.integers(0, len(sources)))]
-        if other != s and not (_letters(other) and len(_HAN.findall(other)) > 0.5 * len(_letters(other))):
+        if other != s and not (_letters(other) and len(_HAN.findall(other)) > 0.5 * len(_letters(other)) and len(_KANA.findall(other)) < KANA_SHARE * len(_letters(other))):
             add(s, t[: int(rng.integers(0, max(1, min(len(t) // 2, len(other) // 3))))] + other if rng.random() < 0.3 else other, 4)
     for p in PLACEHOLDERS:
         if not _letters(p):  # what says nothing may rightly be answered by nothing
