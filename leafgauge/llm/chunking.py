@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from leafgauge.session import cut
+
 SEGMENT_PAGES = 16
 DENSE_REGIONS = 2000
 ORDER_BLOCK = 512
@@ -173,7 +175,8 @@ def split_oversized(regions: DataFrame, manifests: DataFrame) -> DataFrame:
     text is its fragments in the order of ``fragment_no``.  ``repeated`` marks what the
     previous piece holds too.
     """
-    valid = valid_regions(regions)
+    # Read three times below: once for sizes, once for each way through.
+    valid = cut(valid_regions(regions))
     limits = manifests.select("chapter_id", F.when(F.col("max_chars") > 0, F.col("max_chars")).alias("max_chars"), F.coalesce("overlap_pages", F.lit(0)).alias("overlap_pages"))
     # A chapter's page list is one record of the manifest, so this window holds no more than one input record.
     listed = manifests.select("chapter_id", F.posexplode("source_files").alias("page_no", "f")).select("chapter_id", F.col("page_no").cast("long"), F.col("f.page_id").alias("page_id"))
@@ -199,6 +202,7 @@ def split_oversized(regions: DataFrame, manifests: DataFrame) -> DataFrame:
     rows = rows.withColumn("null_block", null_block)
     block = F.when(~F.col("dense"), 0).when(F.col("null_block") >= 0, F.lit(_FAR) + F.col("null_block")).otherwise(F.floor(F.col("region_order") / ORDER_BLOCK))
     rows = rows.withColumn("block", block.cast("long")).withColumn("context", F.lit(False))
+    rows = cut(rows)
     # Units are pages with regions, and the blocks of dense pages; the last of them before each start come along.
     units = rows.where("overlap_pages > 0").groupBy("chapter_id", "page_id", "overlap_pages", "page_no", "seg", "block").agg(F.count("*").alias("regions"))
     units = units.withColumn("unit", F.row_number().over(W.partitionBy("chapter_id").orderBy("page_no", "page_id", "block")))
