@@ -308,7 +308,7 @@ class PairClassifier:
 
         The classifier's greatest margin above 0 decides.  An exact check of the definitions follows: only a source with
         kana can be copied, by at least COPIED of its letter pairs (what else was taken for a copy counts as
-        in another language where it is); an answer of mostly Han letters and few kana isn't in another language; a refusal isn't one, nor broken off;
+        in another language where it is); an answer of mostly Han letters and few kana isn't in another language; a refusal isn't broken off;
         what came back unchanged from a source without kana is sound.
         """
         m = self.margins(sources, answers)[:, : len(DEFECTS)].copy()
@@ -330,7 +330,6 @@ class PairClassifier:
         m[~copied, copy] = -np.inf
         m[~foreign, language] = -np.inf
         told = m[:, refused] > 0
-        m[told, language] = -np.inf
         m[told, DEFECTS.index("truncated")] = -np.inf
         m[same & (a.size > 0) & (s.count(kana[s.points]) == 0)] = -np.inf
         return np.where(m.max(1) > 0, m.argmax(1), -1)
@@ -481,6 +480,8 @@ def training_set(pairs: list[tuple[str, str]], foreign: list[str], part: int | N
         other = str(rng.choice(foreign)) if foreign and k < 0.4 else _noise_language(len(t), rng) if k < 0.6 else sources[int(rng.integers(0, len(sources)))]
         if other != s and not (_letters(other) and len(_HAN.findall(other)) > 0.5 * len(_letters(other)) and len(_KANA.findall(other)) < KANA_SHARE * len(_letters(other))):
             add(s, t[: int(rng.integers(0, max(1, min(len(t) // 2, len(other) // 3))))] + other if rng.random() < 0.3 else other, 4)
+    for f in foreign[: len(pairs)]:  # each foreign sentence once more: what it is about is no refusal
+        add(sources[int(rng.integers(0, len(sources)))], f, 4)
     for p in PLACEHOLDERS:
         if not _letters(p):  # what says nothing may rightly be answered by nothing
             for _ in range(8):
