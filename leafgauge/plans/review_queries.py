@@ -237,6 +237,7 @@ def _aligned(a: str, b: str, key: str, column: str) -> str:
 def oracle_sql() -> dict[str, str]:
     blank = "({0} is null or trim({0}) = '')"
     excluded, missed = "ocr_eligibility is not distinct from 'excluded'", "detection_status is not distinct from 'missed'"
+    ocr = ocr_queries.oracle_sql()
     no_id = f"coalesce(not regexp_matches(region_id, '{review.IDENTIFIER}'), true)"
     return {
         "overlay_contract": _rules("ocr_benchmark_regions", "row_id", {
@@ -267,6 +268,9 @@ def oracle_sql() -> dict[str, str]:
             select region_id, g.t as base_value, r.translated_text as other_value from g join read r using (region_id) where g.t is distinct from r.translated_text""",
         "unevaluated_chapters": f"""with pages as (select chapter_id, f.page_id from chapter_manifests, unnest(source_files) t(f)), seen as (select distinct {D.page_key_sql('page_id')} as page_id from partial_regions where page_id is not null)
             select chapter_id, count(*) as pages from pages where page_id is null or page_id not in (select page_id from seen) group by chapter_id""",
+        "baseline_reproduction": f"""with b as ({ocr['ocr_baseline_by_engine']}), m as ({ocr['arbitration_metrics']})
+            select b.engine, m.regions as p_regions, m.exact as p_exact, m.edits as p_edits, m.regions = b.regions and m.exact = b.exact and m.edits = b.adjusted_edits as reproduced
+            from m join b on b.engine = case m.policy when 'always-paddle' then '{D.PADDLE}' when 'always-manga' then '{D.MANGA}' end""",
         "polygon_gate": f"""with {D.OBSERVATIONS_SQL}, c as (
                 select coalesce(category, 'none') as category, detected, evidence.geometry_source as source from obs union all select 'all', detected, evidence.geometry_source from obs
             ), n as (select category, count(*) filter (detected) as detected, count(*) filter (detected and source = 'line-polygons') as polygons, count(*) filter (detected and source = 'bbox') as boxes from c group by category)
