@@ -419,3 +419,23 @@ def test_moderation_threshold_and_trimming():
     counts[2, 5] = 10_000
     f = moderation.trimmed_frequency(counts, np.array([10, 10, 10_000, 10]))
     assert f[5] == 3 / 30 and not moderation.trimmed_frequency(counts * 0, np.zeros(4)).any()
+
+
+def test_moderation_finds_speak_for_their_wording(spark):
+    """Of a wording that is mostly found the rest is found too; short names that stand in harmless sentences everywhere are not."""
+    names = [f"{a}{b}{c}" for a in ("ka", "ri", "to", "mu") for b in ("be", "fi", "no") for c in ("zo", "ya")]
+    said = [(f"the quarrelsome grobs ought to vanish {n}", some) for n, some in zip(names * 2, [0.4] * 36 + [0.08] * 12)] + [(n, 0.2) for n in names]
+    harmless = [f"{n} {verb} the lantern" for n in names for verb in ("lit", "sold", "found", "carried") for _ in range(5)]
+    count = moderation.count_grams([s for s, _ in said] + harmless) + 20_000 * moderation.count_grams(["before dawn they rowed past a quiet harbour"])
+    rarity = moderation.Rarity.of(count / (len(said) + len(harmless) + 20_000), count)
+    rows = [(i, "s", 0.0, 0.0, 0.0, [-8], [(s, 1 - some, 0.8 * some, 0.1 * some, 0.1 * some)]) for i, (s, some) in enumerate(said)]
+    found = spark.createDataFrame(rows, "doc_id long, source string, abusive double, hateful double, sexual double, bins array<tinyint>, " + moderation._FINDS)
+    model = moderation.settled(found, moderation.Moderator(np.zeros((moderation.BUCKETS + 1, 4), np.float32), rarity, 0.15))
+    assert rows_of(moderation.flagged_documents(moderation.judged_documents(found, model)), ["doc_id", "category"]) == sorted(((i, "abusive") for i in range(48)), key=repr)
+
+
+def test_moderation_minor_categories():
+    """However sure a sentence is, a category that holds little of it isn't flagged."""
+    model = moderation.Moderator(np.zeros((moderation.BUCKETS + 1, 4), np.float32), moderation.Rarity.of(np.zeros(moderation.BUCKETS), np.zeros(moderation.BUCKETS)), 0.15)
+    scores = model.given(["a"], np.array([[0.02, 0.7, 0.2, 0.08]]))
+    assert (scores >= model.threshold).tolist() == [[True, False, False]]
