@@ -1,12 +1,13 @@
 """A counter-based random column: draw k is a pure function of the seed and k.
 
 The generator's state grows by a constant, so no state is carried: draws are a column over
-``spark.range`` and come out the same in any partitioning.
+``spark.range``, or an array from any place on, and come out the same in any partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEP = 0x6D2B79F5
@@ -29,16 +30,12 @@ def mulberry(seed: Column, k: Column) -> Column:
     return t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)
 
 
-def with_draw(df: DataFrame, seed: int, k: str, out: str) -> DataFrame:
-    """``df`` with draw ``k`` in ``out``, step by step: each step's value is computed once and the code stays small."""
-    mask = F.lit(MASK)
-    state = (F.lit(seed & MASK).cast("bigint") + _mul((F.col(k) + 1).bitwiseAND(mask), F.lit(STEP).cast("bigint"))).bitwiseAND(mask)
-    s, t = F.col("_state"), F.col("_t")
-    df = df.withColumn("_state", state)
-    df = df.withColumn("_t", _mul(s.bitwiseXOR(F.shiftright(s, 15)), s.bitwiseOR(F.lit(1))))
-    df = df.withColumn("_m", _mul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61))))
-    df = df.withColumn("_t", t.bitwiseXOR((t + F.col("_m")).bitwiseAND(mask)))
-    return df.withColumn(out, t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0)).drop("_state", "_t", "_m")
+def mulberry_array(seed: int, first: int, n: int) -> np.ndarray:
+    """Draws ``first`` to ``first + n - 1`` in [0, 1), the same as ``mulberry`` gives."""
+    s = np.arange(n, dtype=np.uint32) * np.uint32(STEP) + np.uint32((seed + (first + 1) * STEP) & MASK)
+    t = (s ^ (s >> np.uint32(15))) * (s | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296.0
 
 
 def mulberry_sql(seed: str, k: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from leafgauge.functions import text as X
-from leafgauge.operators.ocr import draws, page_numbers
+from leafgauge.operators.ocr import page_numbers, resampled
 from leafgauge.session import cut
 
 FORMAT_CODES = ("empty-output", "surrounding-whitespace", "disallowed-control", "unpaired-surrogate", "markdown-fence", "too-many-lines")
@@ -129,8 +129,7 @@ def paired_bootstrap(outcomes: DataFrame, left: str, right: str, metric: str, re
     if not n:
         return pages.sparkSession.createDataFrame([], "candidate_a string, candidate_b string, metric string, pairs long, pages long, difference double, low double, high double")
     numbered = pages.join(page_numbers(pages).withColumnRenamed("page", "page_id"), "page_id")
-    drawn = draws(pages.sparkSession, replicates, n, (seed ^ word) & 0xFFFFFFFF)
-    reps = drawn.join(numbered, "number").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("a", "b", "n")])
+    reps = resampled(numbered, ["a", "b", "n"], n, replicates, (seed ^ word) & 0xFFFFFFFF)
     deltas = reps.select((X.rate(F.col("b"), F.col("n")) - X.rate(F.col("a"), F.col("n"))).alias("d"))
     ci = deltas.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     total = pages.agg(F.sum("n").alias("pairs"), F.count("*").alias("pages"), (X.rate(F.sum("b"), F.sum("n")) - X.rate(F.sum("a"), F.sum("n"))).alias("difference"))

@@ -8,7 +8,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from leafgauge.functions.geometry import iou, overlap_decision, point_in_polygon, polygon_area
-from leafgauge.functions.rng import mulberry
+from leafgauge.functions.rng import mulberry, mulberry_array
 from leafgauge.operators import candidates, contracts, ocr, quality, raster, routing, runlog, translation
 from leafgauge.operators.nested import flatten_scenes
 from leafgauge.operators.scene_walk import walked_regions
@@ -278,3 +278,32 @@ def test_scene_walk(spark):
     assert set(got) == {(1, "r1"), (2, "n")}
     assert (got[1, "r1"].page_id, got[1, "r1"].translated_text, got[1, "r1"].x, got[1, "r1"].region_order) == ("p1", "A", 1.0, 0)
     assert (got[2, "n"].page_id, got[2, "n"].confidence, got[2, "n"].width) == ("p", 1.0, 0.0)
+
+
+def _resampled_by_hand(totals, replicates, seed):
+    """Sums of each replicate, draw by draw."""
+    out, mask = [], 0xFFFFFFFF
+    for r in range(replicates):
+        sums = [0] * len(totals[0])
+        for k in range(r * len(totals), (r + 1) * len(totals)):
+            s = (seed + (k + 1) * 0x6D2B79F5) & mask
+            t = ((s ^ (s >> 15)) * (s | 1)) & mask
+            t ^= (t + (t ^ (t >> 7)) * (t | 61)) & mask
+            u = (t ^ (t >> 14)) / 4294967296.0
+            sums = [a + b for a, b in zip(sums, totals[int(u * len(totals))])]
+        out.append((r, *sums))
+    return out
+
+
+def test_resampled(spark, monkeypatch):
+    """Draws match the generator's column; blocks of pages and of draws change nothing."""
+    draws = spark.range(50).select((mulberry(F.lit(20260811).cast("bigint"), F.col("id") + 10**6)).alias("u")).collect()
+    assert mulberry_array(20260811, 10**6, 50).tolist() == [r.u for r in draws]
+    totals = [(i * 7 % 5, i) for i in range(11)]
+    numbered = spark.createDataFrame([(i, *t) for i, t in enumerate(totals)], "number long, a long, b long")
+    expected = _resampled_by_hand(totals, 40, 20260811)
+    rows = lambda: sorted(tuple(r) for r in ocr.resampled(numbered, ["a", "b"], 11, 40, 20260811).collect())
+    assert rows() == expected
+    monkeypatch.setattr(ocr, "PAGE_BLOCK", 4)
+    monkeypatch.setattr(ocr, "TASK_DRAWS", 3)
+    assert rows() == expected
