@@ -307,3 +307,18 @@ def test_resampled(spark, monkeypatch):
     monkeypatch.setattr(ocr, "PAGE_BLOCK", 4)
     monkeypatch.setattr(ocr, "TASK_DRAWS", 3)
     assert rows() == expected
+
+
+def test_paired_bootstrap_by_hand(spark):
+    """Both ends of the interval from replicates that are drawn one by one."""
+    import hashlib
+
+    values = [(f"p{i // 2:02}", f"r{i:02}", int(i % 3 == 0), int(i % 4 != 1)) for i in range(30)]
+    rows = [(c, "m", r, p, v) for p, r, a, b in values for c, v in (("A", a), ("B", b))]
+    pages = sorted({p for p, *_ in values})
+    totals = [tuple(sum(x) for x in zip(*[(a, b, 1) for q, _, a, b in values if q == p])) for p in pages]
+    seed = 9 ^ int(hashlib.sha256(b"A|B|m").hexdigest()[:8], 16)
+    deltas = sorted(b / n - a / n for _, a, b, n in _resampled_by_hand(totals, 101, seed))
+    at = lambda q: deltas[int(q * 100)] + (q * 100 % 1) * (deltas[int(q * 100) + 1] - deltas[int(q * 100)])
+    got = translation.paired_bootstrap(spark.createDataFrame(rows, "candidate string, metric string, region_id string, page_id string, value int"), "A", "B", "m", 101, 9).collect()[0]
+    assert (got.pairs, got.pages) == (30, 15) and got.low == pytest.approx(at(0.025)) and got.high == pytest.approx(at(0.975))
